@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, token_counts
+from tidemark.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,24 @@ def op10_decontamination(spark, sf):
     return decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+SHINGLES = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+   ELSE list_transform(range(len(w) - 2), lambda k : array_to_string(w[k + 1 : k + 3], ' ')) END) AS g FROM d),"""
+
+
+@query("WITH RECURSIVE" + SHINGLES.strip().removeprefix("WITH") + r"""
+ e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+ f AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n + b.n) AS t FROM e a JOIN f USING (x) JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM p WHERE 100 * i >= 90 * (t - i)),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY ALL
+""")
+def op1_ngram_join(spark, sf):
+    return ngram_join.ngram_join(table(spark, sf, "documents"), 3, 90)
+
+
 @query()
 def op2_quality_rules(spark, sf):
     return quality_rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))

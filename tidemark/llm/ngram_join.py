@@ -9,13 +9,15 @@ The order is by hash, frequent shingles last; which are frequent is a bitmap of
 
 Equal sets are one node. Each list is first checked as a star around one member, then, where its members are still in
 several components, member by member, in blocks of bounded size; so no group is expanded into pairs, and no link between
-different sets is lost. Similarity is verified exactly on 64-bit shingle hashes of the whole texts.
+different sets is lost. Both checks compare 16-bit images of the sets, whose overlap as multisets is never below the
+true one, and so only refute; what is left is verified on 64-bit shingle hashes of the whole texts, first one link to a
+smaller node for each node, then those links that still join different components. If a link of the second check
+is refuted, its lists are checked again on the full hashes.
 
 A null or empty text has no shingles, n_shingles 0, and its own doc_id as component. Repeated rows are equal sets.
 An empty table gives an empty result. Extra columns are ignored.
 """
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,10 @@ FLUSH = 1 << 20
 BLOCK = 1000
 #: A star is dealt to several tasks beyond this many members.
 STAR = 2000
-#: Share of the hash range counted for frequency; sets up to SMALL are counted whole.
-COUNTED = 0.3
+#: Sets up to this size are counted whole for frequency; of others, the low part of the hash range that prefixes reach.
 SMALL = 64
+#: The bitmap of wanted sets has 64 * 2 ** WANTED_BITS bits.
+WANTED_BITS = 18
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -83,7 +86,7 @@ def documents(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n bigint, node bigint")
 
 
-def list_statistics(docs: DataFrame, width: int, n_parts: int) -> tuple[np.ndarray, dict, dict]:
+def list_statistics(docs: DataFrame, width: int, percent: int, n_parts: int) -> tuple[np.ndarray, dict, dict]:
     """(bitmap of frequent shingles, total list length met and postings by size bin), over all documents."""
 
     def count(batches):
@@ -95,7 +98,7 @@ def list_statistics(docs: DataFrame, width: int, n_parts: int) -> tuple[np.ndarr
             return pa.RecordBatch.from_arrays([pa.array(range(n_parts), pa.int32()), lists(keys.view(np.int64), np.diff(ends), pa.int64()),
                                                lists(n, np.diff(ends), pa.int32())], names=["part", "keys", "counts"])
 
-        limit = np.uint64(int(COUNTED * 2**64))
+        limit = np.uint64(int(min(0.9, 1.6 * (100 - percent) / 100 + 0.01) * 2**64))
         for batch in slices(batches):
             for s in shingle_sets(batch, width):
                 if len(s):
@@ -222,132 +225,240 @@ def candidate_lists(docs: DataFrame, width: int, percent: int, n_parts: int, fre
             .dropDuplicates(["gid"]))
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(a) + len(b)
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0
     at = np.searchsorted(a, b)
     at[at == len(a)] = 0
-    inter = int((a[at] == b).sum()) if len(a) else 0
-    return 100 * inter >= percent * (both - inter)
+    return int((a[at] == b).sum())
 
 
-def star_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, n_parts: int) -> DataFrame:
-    """Links among candidate pairs (a, b): each hub's text comes before its members' in one sorted pass."""
-    split = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("ways")).where("ways > 1")
-    p = pairs.join(split, "a", "left").select("a", "b", F.coalesce("ways", F.lit(1)).alias("ways"))
-    hubs = p.select("a", "ways").distinct().select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+def may_link(n: int, m: int, percent: int) -> bool:
+    return 100 * min(n, m) >= percent * max(n, m)
+
+
+def links(n: int, m: int, inter: int, percent: int) -> bool:
+    return 100 * inter >= percent * (n + m - inter)
+
+
+def image(s: np.ndarray) -> bytes:
+    """16-bit image of a set as a sorted multiset: differences, low bytes then high bytes."""
+    low = np.sort((s >> np.uint64(20)).astype(np.uint16))
+    return np.diff(low, prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+class Image:
+    def __init__(self, data: bytes):
+        low = np.cumsum(np.frombuffer(data, np.uint8).reshape(2, -1).T.copy().view(np.uint16).ravel(), dtype=np.uint16)
+        self.size = len(low)
+        heads = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
+        self.values, self.counts = low[heads], np.diff(np.append(heads, len(low)))
+
+    def overlap(self, counts: np.ndarray) -> int:
+        return int(np.minimum(counts[self.values], self.counts).sum())
+
+
+def wanted_bitmap(nodes: DataFrame) -> np.ndarray:
+    """Bits of the wanted nodes, or-ed in Spark: at most 2 ** WANTED_BITS words come to the driver."""
+    word = F.shiftrightunsigned("node", 64 - WANTED_BITS)
+    bit = F.expr("shiftleft(1L, cast(node & 63 as int))")
+    rows = nodes.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b")).collect()
+    out = np.zeros(1 << WANTED_BITS, np.int64)
+    for w, b in rows:
+        out[w] = b
+    return out.view(np.uint64)
+
+
+def candidate_texts(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, text) of the wanted nodes, one text each."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_bitmap(nodes))
+
+    def pick(batches):
+        words = shared.value
+        for batch in slices(batches):
+            ids = np.array([set_id(s) for s in shingle_sets(batch, width)], np.int64)
+            u = ids.view(np.uint64)
+            hit = (words[u >> np.uint64(64 - WANTED_BITS)] >> (u & np.uint64(63))) & np.uint64(1) == 1
+            rows = np.flatnonzero(hit)
+            rows = rows[np.unique(ids[rows], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), batch.column("text").take(pa.array(rows))], names=["node", "text"])
+
+    return docs.select("text").mapInArrow(pick, "node bigint, text string").dropDuplicates(["node"])
+
+
+def images(texts: DataFrame, width: int) -> DataFrame:
+    def make(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([image(s) for s in shingle_sets(batch, width)], pa.binary())], names=["node", "image"])
+
+    return texts.mapInArrow(make, "node bigint, image binary")
+
+
+def star_rows(pairs: DataFrame, payload: DataFrame, n_parts: int) -> DataFrame:
+    """Rows of each pair's member after those of its hub, in one sorted pass; wide stars are dealt to several tasks."""
+    split = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("ways"))
+    p = pairs.join(split, "a")
+    hubs = split.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
     rows = p.select("a", "b", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("way")).unionByName(hubs)
-    told = rows.join(texts.withColumnRenamed("node", "b"), "b").select("a", "way", "b", (F.col("a") != F.col("b")).alias("member"), "text")
+    told = rows.join(payload.withColumnRenamed("node", "b"), "b").withColumn("member", F.col("a") != F.col("b"))
+    return told.repartition(n_parts, "a", "way").sortWithinPartitions("a", "way", "member")
+
+
+def not_refuted(pairs: DataFrame, small: DataFrame, percent: int, n_parts: int) -> DataFrame:
+    def check(batches):
+        hub, size, counts = None, 0, None
+        for batch in batches:
+            a, b = [], []
+            for x, y, member, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "member", "image")), strict=True):
+                i = Image(data)
+                if not member:
+                    hub, size, counts = x, i.size, np.zeros(1 << 16, np.int32)
+                    counts[i.values] = i.counts
+                elif x == hub and links(size, i.size, i.overlap(counts), percent):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return star_rows(pairs, small, n_parts).mapInArrow(check, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, n_parts: int) -> DataFrame:
+    """The pairs that link, on the full shingle hashes."""
 
     def check(batches):
         hub, own = None, None
         for batch in slices(batches):
             a, b = [], []
-            for x, y, member, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("member").to_pylist(),
-                                       shingle_sets(batch, width), strict=True):
+            for x, y, member, s in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "member")), shingle_sets(batch, width), strict=True):
                 if not member:
-                    if set_id(s) == x:  # else another text under the same doc_id
-                        hub, own = x, s
-                elif x == hub and similar(own, s, percent) and set_id(s) == y:
+                    hub, own = x, s
+                elif x == hub and may_link(len(own), len(s), percent) and links(len(own), len(s), overlap(own, s), percent):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return told.repartition(n_parts, "a", "way").sortWithinPartitions("a", "way", "member").mapInArrow(check, "a bigint, b bigint")
+    return star_rows(pairs, texts, n_parts).mapInArrow(check, "a bigint, b bigint")
+
 
+def block_pairs(opened: DataFrame, payload: DataFrame, width: int, percent: int, n_parts: int) -> DataFrame:
+    """A spanning set of links between the components that share a list, member by member, in pairs of blocks of about BLOCK sets.
 
-def block_links(open_lists: DataFrame, texts: DataFrame, width: int, percent: int, n_parts: int) -> DataFrame:
-    """Links between the components that share a list, member by member, in pairs of blocks of at most about BLOCK sets."""
-    m = open_lists.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    The payload is the text, or the image, by which nothing is proved.
+    """
+    m = opened.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
     m = m.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member", "label")
-    told = m.join(texts.withColumnRenamed("node", "member"), "member").select("gid", "i", "j", "member", "label", "text")
+    kind = [c for c in payload.columns if c != "node"][0]
+    told = m.join(payload.withColumnRenamed("node", "member"), "member").select("gid", "i", "j", "member", "label", kind)
+
+    def found(nodes, labels, sets):
+        root = {x: x for x in labels}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        size = [s.size for s in sets]
+        order = sorted(range(len(sets)), key=size.__getitem__)
+        a, b = [], []
+        counts = np.zeros(1 << 16, np.int32)
+        for at, k in enumerate(order):
+            marked = False
+            for q in order[at + 1 :]:
+                if not may_link(size[k], size[q], percent):
+                    break
+                if top(labels[q]) == top(labels[k]):
+                    continue
+                if kind == "text":
+                    inter = overlap(sets[k], sets[q])
+                else:
+                    if not marked:
+                        counts[sets[k].values] = sets[k].counts
+                        marked = True
+                    inter = sets[q].overlap(counts)
+                if links(size[k], size[q], inter, percent):
+                    root[top(labels[q])] = top(labels[k])
+                    a.append(min(nodes[k], nodes[q]))
+                    b.append(max(nodes[k], nodes[q]))
+            if marked:
+                counts[sets[k].values] = 0
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def check(batches):
         at, nodes, labels, sets = None, [], [], []
-
-        def links():
-            found = []
-            root = {x: x for x in labels}
-
-            def top(x):
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            todo = list(range(len(sets)))
-            flat, code = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
-            size = np.array([len(s) for s in sets])
-            ends = np.cumsum(size)
-            mark = np.zeros(len(flat), bool)
-            for k in todo:
-                mine = code[ends[k] - size[k] : ends[k]]
-                rest = np.array([q for q in range(k + 1, len(sets)) if top(labels[q]) != top(labels[k])
-                                 and 100 * min(size[q], size[k]) >= percent * max(size[q], size[k])], np.int64)
-                if not len(rest):
-                    continue
-                mark[mine] = True
-                for q in rest.tolist():
-                    if top(labels[q]) != top(labels[k]):
-                        inter = int(mark[code[ends[q] - size[q] : ends[q]]].sum())
-                        if 100 * inter >= percent * (size[q] + size[k] - inter):
-                            root[top(labels[q])] = top(labels[k])
-                            found.append((nodes[k], nodes[q]))
-                mark[mine] = False
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-
-        for batch in slices(batches):
-            cols = [batch.column(c).to_pylist() for c in ("gid", "i", "j", "member", "label")]
-            for gid, i, j, node, label, s in zip(*cols, shingle_sets(batch, width), strict=True):
+        for batch in slices(batches) if kind == "text" else batches:
+            own = shingle_sets(batch, width) if kind == "text" else [Image(x) for x in batch.column("image").to_pylist()]
+            for gid, i, j, node, label, s in zip(*(batch.column(c).to_pylist() for c in ("gid", "i", "j", "member", "label")), own, strict=True):
                 if (gid, i, j) != at:
                     if sets:
-                        yield links()
+                        yield found(nodes, labels, sets)
                     at, nodes, labels, sets = (gid, i, j), [], [], []
-                if set_id(s) == node:
-                    nodes.append(node)
-                    labels.append(label)
-                    sets.append(s)
+                nodes.append(node)
+                labels.append(label)
+                sets.append(s)
         if sets:
-            yield links()
+            yield found(nodes, labels, sets)
 
     return told.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(check, "a bigint, b bigint")
 
 
+def open_lists(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the lists that still hold several components, with their labels."""
+    members = groups.where(F.size("members") > 2).select("gid", F.explode("members").alias("member"))
+    labelled = members.join(labels.withColumnRenamed("node", "member"), "member", "left").select("gid", "member", F.coalesce("root", "member").alias("label"))
+    still = labelled.groupBy("gid").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return labelled.join(still.select("gid", "size"), "gid")
+
+
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     n_parts = parts(docs.sparkSession)
     known = materialise(documents(docs, width), "sets")
-    nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    frequent, met, postings = list_statistics(docs, width, n_parts)
+    nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    frequent, met, postings = list_statistics(docs, width, percent, n_parts)
     bins = known.where("n > 1").groupBy(F.least(F.floor(F.log2("n") * 4), F.lit(127)).alias("b")).count().collect()
     light = boundary({r[0]: r[1] for r in bins}, met, postings, percent)
     groups = materialise(candidate_lists(docs, width, percent, n_parts, frequent, light), "lists")
-    reps = nodes.select("node", F.col("rep").alias("doc_id"))
-
-    def texts(wanted: DataFrame) -> DataFrame:
-        need = wanted.distinct().join(reps, "node")
-        need = need.withColumnRenamed("doc_id", "_rep")
-        return docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "text")
+    texts = materialise(candidate_texts(docs, groups.select(F.explode("members").alias("node")), width), "texts")
+    small = materialise(images(texts, width), "images")
 
     hub = F.array_min("members")
     pairs = (groups.select(hub.alias("a"), F.expr("sizes[array_position(members, array_min(members)) - 1]").alias("na"), F.explode(F.arrays_zip("members", "sizes")).alias("m"))
              .select("a", F.col("m.members").alias("b"), "na", F.col("m.sizes").alias("nb")).where("a <> b")
              .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct())
-    pairs = materialise(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    links = materialise(star_links(pairs, texts(ends), width, percent, n_parts), "links")
-    labels = components(links)
-    members = groups.where(F.size("members") > 2).select("gid", F.explode("members").alias("member"))
-    labelled = members.join(labels.withColumnRenamed("node", "member"), "member", "left").select("gid", "member", F.coalesce("root", "member").alias("label"))
-    still = labelled.groupBy("gid").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    opened = materialise(labelled.join(still.select("gid", "size"), "gid"), "open")
+    likely = materialise(not_refuted(pairs, small, percent, n_parts), "likely")
+    sure = materialise(verified(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, width, percent, n_parts), "sure")
+    labels = components(sure)
+
+    def apart(links: DataFrame) -> DataFrame:
+        to = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias("_" + c))
+        both = links.join(to("a"), "a", "left").join(to("b"), "b", "left")
+        return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+    def widen(more: DataFrame) -> None:
+        nonlocal sure, labels
+        if not more.isEmpty():
+            sure = sure.unionByName(more)
+            labels = components(sure)
+
+    rest = materialise(apart(likely), "rest")
+    if not rest.isEmpty():
+        widen(materialise(verified(rest, texts, width, percent, n_parts), "sure"))
+    opened = materialise(open_lists(groups, labels), "open")
     if not opened.isEmpty():
-        more = block_links(opened, texts(opened.select(F.col("member").alias("node"))), width, percent, n_parts)
-        labels = components(links.unionByName(materialise(more, "links")))
+        guess = materialise(block_pairs(opened, small, width, percent, n_parts).distinct(), "guess")
+        if not guess.isEmpty():
+            right = materialise(verified(guess, texts, width, percent, n_parts), "sure")
+            wrong = not guess.join(right, ["a", "b"], "left_anti").isEmpty()
+            widen(right)
+            if wrong:
+                opened = materialise(open_lists(groups, labels), "open")
+                widen(materialise(block_pairs(opened, texts, width, percent, n_parts), "sure"))
     rooted = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = rooted.join(least, "root").select("node", "component_id")

@@ -5,7 +5,9 @@ n - c + l shingles of one global order they share l. Small (light) sets enumerat
 that prefix and meet where a subset is equal; large (heavy) sets put the prefix for l = 1 into inverted lists, which
 they share with the light sets that are within the length bound of some heavy set. The boundary is the size
 at which enumerating costs more than scanning, from the counts of all sets and the lengths of all lists by size.
-The order is by hash, frequent shingles last; which are frequent is a bitmap of fixed size, counted over all documents.
+The order puts shingles of one document first, then rare ones, then frequent ones, each by hash. It is counted over all
+documents for the low part of the hash range that prefixes reach (the rest comes before the frequent ones) and kept
+as two bitmaps of bounded size; two shingles that share a bit only share a place in the order.
 
 Equal sets are one node. Each list is first checked as a star around one member, then, where its members are still in
 several components, member by member, in blocks of bounded size; so no group is expanded into pairs, and no link between
@@ -30,16 +32,14 @@ from tidemark.llm.text import Words, column, gram, grams, lists, mix, slices
 
 #: Lists longer than this are put last in the order.
 FREQUENT = 32
-#: The bitmap of frequent shingles has 2 ** FREQUENT_BITS bits.
-FREQUENT_BITS = 24
+#: The bitmaps of the order have at most 2 ** MOST_BITS bits.
+MOST_BITS = 29
 #: Postings held in a task before they are sent off.
 FLUSH = 1 << 20
 #: Most sets that a task compares member by member at once.
 BLOCK = 1000
 #: A star is dealt to several tasks beyond this many members.
 STAR = 2000
-#: Sets up to this size are counted whole for frequency; of others, the low part of the hash range that prefixes reach.
-SMALL = 64
 #: The bitmap of wanted sets has 64 * 2 ** WANTED_BITS bits.
 WANTED_BITS = 18
 
@@ -67,12 +67,36 @@ def size_bin(n):
     return np.minimum(np.log2(np.maximum(n, 1)) * 4, 127).astype(np.int64)
 
 
-def deal(keys: np.ndarray, n: int) -> np.ndarray:
-    """Ends of the n equal ranges of sorted hashes."""
-    edges = (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(np.uint64)
+def deal(keys: np.ndarray, n: int, limit: float = 2.0**64) -> np.ndarray:
+    """Ends of the n equal ranges of sorted hashes below the limit."""
+    edges = (np.arange(1, n, dtype=np.float64) / n * limit).astype(np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def counted_below(percent: int) -> float:
+    return min(0.9, 1.6 * (100 - percent) / 100 + 0.01) * 2.0**64
+
+
+class Order:
+    """Places shingles: of one document, rare, not counted, frequent; then by hash."""
+
+    def __init__(self, percent: int, shingles: int):
+        self.limit = counted_below(percent)
+        self.bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(max(1, shingles) / 4)))))
+        self.shared, self.often = np.zeros(1 << self.bits - 3, np.uint8), np.zeros(1 << self.bits - 3, np.uint8)
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        return np.minimum(hashes.astype(np.float64) * (2.0**self.bits / self.limit), 2.0**self.bits - 1).astype(np.int64)
+
+    def prefix(self, s: np.ndarray, n: int) -> np.ndarray:
+        cut = int(np.searchsorted(s, np.uint64(int(self.limit))))
+        at = self.place(s[:cut])
+        byte, bit = at >> 3, 7 - (at & 7).astype(np.uint8)
+        tier = np.full(len(s), 2, np.uint8)
+        tier[:cut] = ((self.shared[byte] >> bit) & 1) + 2 * ((self.often[byte] >> bit) & 1)
+        return s[np.argsort(tier, kind="stable")[:n]]
+
+
 def documents(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, node): size and set number of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -86,25 +110,25 @@ def documents(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n bigint, node bigint")
 
 
-def list_statistics(docs: DataFrame, width: int, percent: int, n_parts: int) -> tuple[np.ndarray, dict, dict]:
-    """(bitmap of frequent shingles, total list length met and postings by size bin), over all documents."""
+def list_statistics(docs: DataFrame, width: int, percent: int, n_parts: int, shingles: int) -> tuple[Order, dict, dict]:
+    """(order, total list length met and postings by size bin), over all documents."""
+    order = Order(percent, shingles)
+    limit, place, n_bits = order.limit, order.place, order.bits
 
     def count(batches):
         held, size = [], 0
 
         def flush():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            ends = deal(keys, n_parts)
+            ends = deal(keys, n_parts, limit)
             return pa.RecordBatch.from_arrays([pa.array(range(n_parts), pa.int32()), lists(keys.view(np.int64), np.diff(ends), pa.int64()),
                                                lists(n, np.diff(ends), pa.int32())], names=["part", "keys", "counts"])
 
-        limit = np.uint64(int(min(0.9, 1.6 * (100 - percent) / 100 + 0.01) * 2**64))
         for batch in slices(batches):
             for s in shingle_sets(batch, width):
-                if len(s):
-                    low = s if len(s) <= SMALL else s[: np.searchsorted(s, limit)]
-                    held.append((low & ~np.uint64(127)) | np.uint64(size_bin(len(s))))
-                    size += len(low)
+                low = s[: np.searchsorted(s, np.uint64(int(limit)))]
+                held.append((low & ~np.uint64(127)) | np.uint64(size_bin(max(len(s), 1))))
+                size += len(low)
             if size > FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -117,27 +141,34 @@ def list_statistics(docs: DataFrame, width: int, percent: int, n_parts: int) ->
             keys.append(batch.column("keys").flatten().to_numpy(zero_copy_only=False))
             counts.append(batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
         keys, counts = np.concatenate(keys).view(np.uint64), np.concatenate(counts)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        by = np.argsort(keys)
+        keys, counts = keys[by], counts[by]
         heads = np.flatnonzero(np.append(True, (keys[1:] >> np.uint64(7)) != (keys[:-1] >> np.uint64(7)))) if len(keys) else np.zeros(0, np.int64)
         df = np.add.reduceat(counts, heads) if len(heads) else counts
-        often = df > FREQUENT
-        bits = np.unique(keys[heads[often]] >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)
-        each = np.repeat(np.where(often, 0, df), np.diff(np.append(heads, len(keys))))
+        at = place(keys[heads])
+        start = int(at[0]) >> 3 if len(at) else 0
+        packed = []
+        for rows in (df > 1, df > FREQUENT):
+            bits = np.zeros(((int(at[-1]) >> 3) - start + 1) * 8 if len(at) else 0, np.uint8)
+            bits[at[rows] - start * 8] = 1
+            packed.append(np.packbits(bits).tobytes())
+        each = np.repeat(np.where(df > FREQUENT, 0, df), np.diff(np.append(heads, len(keys))))
         b = (keys & np.uint64(127)).astype(np.int64)
-        met, postings = np.bincount(b, each * counts, 128), np.bincount(b, counts, 128)
         one = lambda x, kind: lists(x, np.array([len(x)]), kind)
-        yield pa.RecordBatch.from_arrays([one(bits, pa.int32()), one(met, pa.float64()), one(postings, pa.float64())], names=["bits", "met", "postings"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([start], pa.int64()), pa.array([packed[0]], pa.binary()), pa.array([packed[1]], pa.binary()),
+             one(np.bincount(b, each * counts, 128), pa.float64()), one(np.bincount(b, counts, 128), pa.float64())],
+            names=["start", "shared", "often", "met", "postings"])
 
-    rows = (docs.select("text").mapInArrow(count, "part int, keys array<bigint>, counts array<int>")
-            .repartitionById(n_parts, F.col("part")).mapInArrow(total, "bits array<int>, met array<double>, postings array<double>").collect())
-    bitmap = np.zeros(1 << FREQUENT_BITS, bool)
+    rows = (docs.select("text").mapInArrow(count, "part int, keys array<bigint>, counts array<int>").repartitionById(n_parts, F.col("part"))
+            .mapInArrow(total, "start bigint, shared binary, often binary, met array<double>, postings array<double>"))
     met, postings = np.zeros(128), np.zeros(128)
-    for r in rows:
-        bitmap[np.array(r.bits, np.int64)] = True
+    for r in rows.toLocalIterator():
+        for bitmap, data in ((order.shared, r.shared), (order.often, r.often)):
+            bitmap[r.start : r.start + len(data)] |= np.frombuffer(data, np.uint8)
         met += r.met
         postings += r.postings
-    return np.packbits(bitmap), dict(enumerate(met)), dict(enumerate(postings))
+    return order, dict(enumerate(met)), dict(enumerate(postings))
 
 
 def boundary(sizes: dict, met: dict, postings: dict, percent: int) -> int:
@@ -153,18 +184,18 @@ def boundary(sizes: dict, met: dict, postings: dict, percent: int) -> int:
     return at
 
 
-def candidate_lists(docs: DataFrame, width: int, percent: int, n_parts: int, frequent, light: int) -> DataFrame:
+def candidate_lists(docs: DataFrame, width: int, percent: int, n_parts: int, order: Order, light: int) -> DataFrame:
     """(gid, members, sizes): distinct lists of two sets or more that share a prefix shingle or subset."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def post(batches):
-        bitmap = np.unpackbits(shared.value).view(bool)
+        order = shared.value
         held, size = [], 0
 
         def flush():
             keys, nodes, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((nodes, keys))
-            keys, nodes, n = keys[order], nodes[order], n[order]
+            by = np.lexsort((nodes, keys))
+            keys, nodes, n = keys[by], nodes[by], n[by]
             new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
             keys, nodes, n = keys[new], nodes[new], n[new]
             ends = deal(keys, n_parts)
@@ -177,10 +208,9 @@ def candidate_lists(docs: DataFrame, width: int, percent: int, n_parts: int, fre
                 n = len(s)
                 if n < 2:  # links with nothing but its equals
                     continue
-                often = bitmap[s >> np.uint64(64 - FREQUENT_BITS)]
                 p = n - needed(n, percent) + 1
                 is_light = n <= light and needed(n, percent) >= 2
-                first = np.concatenate([s[~often], s[often]])[: p + is_light]
+                first = order.prefix(s, p + is_light)
                 keys = []
                 if is_light:
                     i, j = np.triu_indices(len(first), 1)
@@ -420,10 +450,10 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     n_parts = parts(docs.sparkSession)
     known = materialise(documents(docs, width), "sets")
     nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    frequent, met, postings = list_statistics(docs, width, percent, n_parts)
+    order, met, postings = list_statistics(docs, width, percent, n_parts, known.agg(F.sum("n")).first()[0] or 0)
     bins = known.where("n > 1").groupBy(F.least(F.floor(F.log2("n") * 4), F.lit(127)).alias("b")).count().collect()
     light = boundary({r[0]: r[1] for r in bins}, met, postings, percent)
-    groups = materialise(candidate_lists(docs, width, percent, n_parts, frequent, light), "lists")
+    groups = materialise(candidate_lists(docs, width, percent, n_parts, order, light), "lists")
     texts = materialise(candidate_texts(docs, groups.select(F.explode("members").alias("node")), width), "texts")
     small = materialise(images(texts, width), "images")
 

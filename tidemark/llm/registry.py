@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts
+from tidemark.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,6 +74,25 @@ def op2_quality_rules(spark, sf):
     return quality_rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 400) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+ x AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(s)) AS n FROM w) WHERE n > 1),
+ g AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM x),
+ t AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+ r AS (SELECT doc_id, k, min(i) AS b, max(i) + 200 AS e FROM t GROUP BY ALL),
+ z AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es FROM r GROUP BY doc_id),
+ y AS (SELECT d.doc_id, d.h, coalesce(z.n_removed, 0) AS n_removed, coalesce(z.n_spans, 0) AS n_spans,
+   list_concat([0], coalesce(z.es, [])) AS f, list_concat(coalesce(z.bs, []), [length(d.h) // 2]) AS u FROM d LEFT JOIN z USING (doc_id)),
+ q AS (SELECT doc_id, string_agg(substr(h, CAST(2 * f[j] + 1 AS BIGINT), CAST(2 * (u[j] - f[j]) AS BIGINT)), '' ORDER BY j) AS kept
+   FROM (SELECT doc_id, h, f, u, unnest(range(1, len(f) + 1)) AS j FROM y) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM y JOIN q USING (doc_id)
+""")
+def op6_suffix_dedup(spark, sf):
+    d = suffix_dedup.suffix_dedup(table(spark, sf, "documents"), 200)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS u FROM documents),
  n AS (SELECT doc_id, u, line, lower(trim(regexp_replace(line, '[ \t-\r]+', ' ', 'g'))) AS k FROM l),

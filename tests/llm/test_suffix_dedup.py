@@ -38,6 +38,7 @@ def test_suffix_array_and_prefixes():
 def test_removed_brute(spark, monkeypatch, piece, flush):
     monkeypatch.setattr(sd, "PIECE", piece)
     monkeypatch.setattr(sd, "FLUSH", flush)
+    monkeypatch.setattr(sd, "CHUNK", flush)
     r = random.Random(piece)
     word = lambda: "".join(r.choice("aeinsté") for _ in range(r.randrange(1, 7)))
     say = lambda n: " ".join(word() for _ in range(n))

@@ -383,39 +383,38 @@ def block_pairs(opened: DataFrame, payload: DataFrame, width: int, percent: int,
     kind = [c for c in payload.columns if c != "node"][0]
     told = m.join(payload.withColumnRenamed("node", "member"), "member").select("gid", "i", "j", "member", "label", kind)
 
-    def found(nodes, labels, sets):
-        root = {x: x for x in labels}
-
-        def top(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        size = [s.size for s in sets]
-        order = sorted(range(len(sets)), key=size.__getitem__)
+    def found(gid, nodes, labels, sets):
+        """Compares each member with all larger ones of other labels at once; labels merge as links are found."""
+        order = sorted(range(len(sets)), key=lambda k: sets[k].size)
+        size = np.array([sets[k].size for k in order])
+        label = np.array([labels[k] for k in order])
+        if kind == "text":
+            values = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+            times, width_of = np.ones(len(values), np.int64), size
+        else:
+            values = np.concatenate([sets[k].values for k in order])
+            times, width_of = np.concatenate([sets[k].counts for k in order]), np.array([len(sets[k].values) for k in order])
+        ends = np.cumsum(width_of)
+        counts = np.zeros(int(values.max(initial=0)) + 1, np.int64)
+        upto = np.searchsorted(size, size * 100 // percent, "right")
         a, b = [], []
-        counts = np.zeros(1 << 16, np.int32)
-        for at, k in enumerate(order):
-            marked = False
-            for q in order[at + 1 :]:
-                if not may_link(size[k], size[q], percent):
-                    break
-                if top(labels[q]) == top(labels[k]):
-                    continue
-                if kind == "text":
-                    inter = overlap(sets[k], sets[q])
-                else:
-                    if not marked:
-                        counts[sets[k].values] = sets[k].counts
-                        marked = True
-                    inter = sets[q].overlap(counts)
-                if links(size[k], size[q], inter, percent):
-                    root[top(labels[q])] = top(labels[k])
-                    a.append(min(nodes[k], nodes[q]))
-                    b.append(max(nodes[k], nodes[q]))
-            if marked:
-                counts[sets[k].values] = 0
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for k in range(len(order)):
+            to = int(upto[k])
+            if to <= k + 1 or (label[k + 1 : to] == label[k]).all():
+                continue
+            own = slice(int(ends[k] - width_of[k]), int(ends[k]))
+            counts[values[own]] = times[own]
+            rest = slice(int(ends[k]), int(ends[to - 1]))
+            inter = np.add.reduceat(np.minimum(counts[values[rest]], times[rest]), (ends - width_of)[k + 1 : to] - ends[k])
+            counts[values[own]] = 0
+            ok = (100 * inter >= percent * (size[k] + size[k + 1 : to] - inter)) & (label[k + 1 : to] != label[k])
+            for q in (np.flatnonzero(ok) + k + 1).tolist():
+                if label[q] != label[k]:
+                    label[label == label[q]] = label[k]
+                    x, y = nodes[order[k]], nodes[order[q]]
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+        return pa.RecordBatch.from_arrays([pa.array([gid] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["gid", "a", "b"])
 
     def check(batches):
         at, nodes, labels, sets = None, [], [], []
@@ -424,15 +423,15 @@ def block_pairs(opened: DataFrame, payload: DataFrame, width: int, percent: int,
             for gid, i, j, node, label, s in zip(*(batch.column(c).to_pylist() for c in ("gid", "i", "j", "member", "label")), own, strict=True):
                 if (gid, i, j) != at:
                     if sets:
-                        yield found(nodes, labels, sets)
+                        yield found(at[0], nodes, labels, sets)
                     at, nodes, labels, sets = (gid, i, j), [], [], []
                 nodes.append(node)
                 labels.append(label)
                 sets.append(s)
         if sets:
-            yield found(nodes, labels, sets)
+            yield found(at[0], nodes, labels, sets)
 
-    return told.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(check, "a bigint, b bigint")
+    return told.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(check, "gid bigint, a bigint, b bigint")
 
 
 def open_lists(groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -483,12 +482,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     if not opened.isEmpty():
         guess = materialise(block_pairs(opened, small, width, percent, n_parts).distinct(), "guess")
         if not guess.isEmpty():
-            right = materialise(verified(guess, texts, width, percent, n_parts), "sure")
-            wrong = not guess.join(right, ["a", "b"], "left_anti").isEmpty()
+            right = materialise(verified(guess.select("a", "b").distinct(), texts, width, percent, n_parts), "sure")
+            doubted = guess.join(right, ["a", "b"], "left_anti").select("gid").distinct()
             widen(right)
-            if wrong:
-                opened = materialise(open_lists(groups, labels), "open")
-                widen(materialise(block_pairs(opened, texts, width, percent, n_parts), "sure"))
+            opened = materialise(open_lists(groups.join(doubted, "gid", "left_semi"), labels), "open")
+            if not opened.isEmpty():
+                widen(materialise(block_pairs(opened, texts, width, percent, n_parts).select("a", "b").distinct(), "sure"))
     rooted = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = rooted.join(least, "root").select("node", "component_id")

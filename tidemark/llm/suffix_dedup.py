@@ -30,7 +30,9 @@ GRAM = 32
 #: Bytes of contexts in one suffix array.
 PIECE = 1 << 20
 #: Runs held in a task before they are sent off.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
+#: Bytes of text whose runs are found at once; longer texts are taken in chunks.
+CHUNK = 1 << 20
 
 
 def _powers(n: int) -> int:
@@ -227,14 +229,19 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 [pa.array(range(n_parts), pa.int32()), *(lists(x.view(np.int64), k, pa.int64()) for x in (node, place, key, ctx))],
                 names=["part", "nodes", "places", "keys", "contexts"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=CHUNK):
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            text, s, e, off, key, ctx = runs(*column(batch, "text"), length)
-            held.append((nodes[text], (s << 24) | ((e - s) << 12) | off, key, ctx))
-            size += len(text)
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
+            data, offsets = column(batch, "text")
+            whole = [(offsets, 0)] if len(batch) > 1 else [(np.array([c, min(c + CHUNK, offsets[1])]), c - offsets[0])
+                                                           for c in range(int(offsets[0]), int(offsets[1]) - length + 1, CHUNK - length + 1)]
+            for ends, shift in whole:
+                text, s, e, off, key, ctx = runs(data, ends, length)
+                s, e = s + shift, e + shift
+                held.append((nodes[text], (s << 24) | ((e - s) << 12) | off, key, ctx))
+                size += len(text)
+                if size > FLUSH:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -288,7 +295,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     texts = keyed.mapInArrow(wanted, "node bigint, text string").dropDuplicates(["node"]).join(gathered, "node")
 
     def cut(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=CHUNK):
             data, offsets = column(batch, "text")
             owner = np.repeat(np.arange(len(batch)), np.diff(batch.column("places").offsets.to_numpy()))
             place = batch.column("places").flatten().to_numpy(zero_copy_only=False)

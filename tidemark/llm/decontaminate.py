@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.text import NOT_ALNUM, Words, column, gram, slices
 
@@ -150,11 +151,10 @@ def item_blocks(items: DataFrame) -> list:
         yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """One row per document: words, hit words, items with occurring windows, and their digest."""
+def find_items(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """(doc, text, n_words, n_hit, n_items, items_sha256, contaminated); doc holds the other columns of docs."""
     sc = docs.sparkSession.sparkContext
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    found = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     for block in item_blocks(items):
         win = Windows(block, width)
         win.set_rarity(word_counts(docs, win.vocabulary))
@@ -171,10 +171,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
                     span_lists[d] = (span_lists[d] or []) + mine
                     ids = [win.ids[i] for i in pairs[pairs[:, 0] == d, 1]]
                     item_lists[d] = sorted({*(item_lists[d] or []), *(str(i) for i in ids if i is not None)})
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(span_lists, pa.list_(pa.int64())),
-                                                  pa.array(item_lists, pa.list_(pa.string()))], names=["doc_id", "text", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.array(span_lists, pa.list_(pa.int64())),
+                                                  pa.array(item_lists, pa.list_(pa.string()))], names=["doc", "text", "spans", "items"])
 
-        found = found.mapInArrow(hits, f"doc_id {id_type}, text string, spans array<bigint>, items array<string>")
+        found = found.mapInArrow(hits, found.schema)
 
     def report(batches):
         for batch in slices(batches):
@@ -183,8 +183,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
             n_hit = covered(np.concatenate(spans), w.lo, w.hi, len(w.hash))
             ids = [i or [] for i in batch.column("items").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(w.count), pa.array(n_hit), pa.array([len(i) for i in ids], pa.int64()),
+                [batch.column("doc"), batch.column("text"), pa.array(w.count), pa.array(n_hit), pa.array([len(i) for i in ids], pa.int64()),
                  pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]), pa.array(n_hit > 0)],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                names=["doc", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    told = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
+    return found.mapInArrow(report, T.StructType([*found.schema.fields[:2], *(T.StructField(n, t) for n, t in told)]))
 
-    return found.mapInArrow(report, f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """One row per document: words, hit words, items with occurring windows, and their digest."""
+    found = find_items(docs.select("doc_id", "text"), items, width)
+    return found.select("doc.doc_id", *found.columns[2:])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
+from tidemark.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op2_quality_rules(spark, sf):
     return quality_rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op5_language_id(spark, sf):
+    return language_id.language_id(table(spark, sf, "documents"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
  w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 400) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),

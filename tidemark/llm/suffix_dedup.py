@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.ngram_join import WANTED_BITS, deal, wanted_bitmap
 from tidemark.llm.session import materialise, parts
@@ -386,11 +387,11 @@ def removed_spans(begins, ends) -> tuple[np.ndarray, np.ndarray]:
     return b[head], e[np.append(np.flatnonzero(head)[1:], len(b)) - 1]
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed, n_spans and the removed spans of every text."""
+def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """(doc, kept, n_bytes, n_removed, n_spans, kept_sha256, begins, ends): doc holds all columns but text, kept the bytes
+    that stay, begins and ends the removed runs."""
     if not GRAM < length <= 255:
         raise ValueError(f"length must be above {GRAM} and at most 255")
-    kind = docs.schema["doc_id"].dataType.simpleString()
     spans = materialise(repeated_spans(docs, length), "spans")
     bitmap = docs.sparkSession.sparkContext.broadcast(wanted_bitmap(spans.select("node")))
 
@@ -399,7 +400,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
         for batch in batches:
             u = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
             hit = (words[u >> np.uint64(64 - WANTED_BITS)] >> (u & np.uint64(63))) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=["doc_id", "node", "text", "hit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=["doc", "node", "text", "hit"])
 
     def apply(batches):
         for batch in slices(batches):
@@ -415,14 +416,23 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
                 b_all.append(b.tolist())
                 e_all.append(e.tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
+                [batch.column("doc"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array([len(b) for b in b_all], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
                  pa.array(b_all, pa.list_(pa.int64())), pa.array(e_all, pa.list_(pa.int64()))],
-                names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "begins", "ends"])
+                names=["doc", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "begins", "ends"])
 
-    keyed = docs.select("doc_id", _key().alias("node"), "text")
-    flagged = keyed.mapInArrow(flag, f"doc_id {kind}, node bigint, text string, hit boolean")
+    keyed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), _key().alias("node"), "text")
+    flagged = keyed.mapInArrow(flag, T.StructType([*keyed.schema.fields, T.StructField("hit", T.BooleanType())]))
     none = F.lit(None).cast("array<bigint>")
-    rows = (flagged.where("hit").join(spans, "node", "left").select("doc_id", "text", "begins", "ends")
-            .unionByName(flagged.where("NOT hit").select("doc_id", "text", none.alias("begins"), none.alias("ends"))))
-    return rows.mapInArrow(apply, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, begins array<bigint>, ends array<bigint>")
+    rows = (flagged.where("hit").join(spans, "node", "left").select("doc", "text", "begins", "ends")
+            .unionByName(flagged.where("NOT hit").select("doc", "text", none.alias("begins"), none.alias("ends"))))
+    places = T.ArrayType(T.LongType())
+    told = [("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()),
+            ("begins", places), ("ends", places)]
+    return rows.mapInArrow(apply, T.StructType([rows.schema["doc"], *(T.StructField(n, t) for n, t in told)]))
+
+
+def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
+    """doc_id and what remove_repeats tells of every text."""
+    found = remove_repeats(docs.select("doc_id", "text"), length)
+    return found.select("doc.doc_id", *found.columns[1:])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
+from tidemark.llm import decontaminate, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query()
+def op3_lm_scoring(spark, sf):
+    return lm_scoring.lm_scoring(table(spark, sf, "documents"))
+
+
 @query()
 def op4_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))

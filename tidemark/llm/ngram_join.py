@@ -35,7 +35,7 @@ FREQUENT = 32
 #: The bitmaps of the order have at most 2 ** MOST_BITS bits.
 MOST_BITS = 29
 #: Postings held in a task before they are sent off.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Most sets that a task compares member by member at once.
 BLOCK = 1000
 #: A star is dealt to several tasks beyond this many members.

@@ -4,15 +4,16 @@ All arrays are numpy views of one batch; long texts are worked through in pieces
 so temporaries stay bounded whatever the length of a text.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Rows of an Arrow batch are handled in slices of about this many bytes of text.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -55,8 +56,21 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `limit` bytes of text, or one text."""
+    done = 0
     for batch in batches:
         _, offsets = column(batch, name)
         at = 0
@@ -64,6 +78,11 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+            done += limit
+            if done > 8 * SLICE:
+                trim()
+                done = 0
+    trim()
 
 
 class Words:

@@ -38,24 +38,16 @@ def prevote_decision(requests: DataFrame) -> DataFrame:
 def vote_fold(requests: DataFrame, start_term: int = 0, log_term: int = 0, log_index: int = 0) -> DataFrame:
     """Each voter answers its requests in order; one vote a term, cleared only by a higher term.
 
-    One array per voter: a voter's requests are bounded by its elections, not by the data.
+    A request counts while its term is the highest the voter has seen; the term's vote is the first candidate
+    among those whose log is new enough. Two running windows, so a voter's history is never one array.
     """
-    ordered = requests.groupBy("voter").agg(F.array_sort(F.collect_list(
-        F.struct("ord", "term", "candidate", "last_log_term", "last_log_index"))).alias("reqs"))
-    step = f"""
-      aggregate(reqs,
-        named_struct('term', cast({start_term} as bigint), 'vote', '', 'out', cast(array() as array<struct<ord:bigint,term:bigint,candidate:string,granted:boolean,current_term:bigint>>)),
-        (s, r) -> named_struct(
-          'term', greatest(s.term, r.term),
-          'vote', CASE WHEN r.term < s.term THEN s.vote
-                       WHEN (r.term > s.term OR s.vote = '' OR s.vote = r.candidate)
-                            AND (r.last_log_term > {log_term} OR (r.last_log_term = {log_term} AND r.last_log_index >= {log_index})) THEN r.candidate
-                       WHEN r.term > s.term THEN '' ELSE s.vote END,
-          'out', concat(s.out, array(named_struct('ord', r.ord, 'term', r.term, 'candidate', r.candidate,
-            'granted', r.term >= s.term AND (r.term > s.term OR s.vote = '' OR s.vote = r.candidate)
-                       AND (r.last_log_term > {log_term} OR (r.last_log_term = {log_term} AND r.last_log_index >= {log_index})),
-            'current_term', greatest(s.term, r.term))))))"""
-    return ordered.select("voter", F.explode(F.expr(step)["out"]).alias("o")).select("voter", "o.*")
+    history = Window.partitionBy("voter").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    in_term = Window.partitionBy("voter", "term").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    new_enough = log_up_to_date(F.col("last_log_term"), F.col("last_log_index"), F.lit(log_term).cast("bigint"), F.lit(log_index).cast("bigint"))
+    seen = requests.withColumn("current_term", F.greatest(F.max("term").over(history), F.lit(start_term).cast("bigint")))
+    able = seen.withColumn("able", (F.col("term") == F.col("current_term")) & new_enough)
+    vote = F.first(F.when(F.col("able"), F.col("candidate")), ignorenulls=True).over(in_term)
+    return able.withColumn("vote", vote).select("voter", "ord", "term", "candidate", (F.col("able") & F.col("candidate").eqNullSafe(F.col("vote"))).alias("granted"), "current_term")
 
 
 def vote_quorum(votes: DataFrame, peers: int) -> DataFrame:

@@ -4,11 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
-
 from tidemark.llm.session import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -35,12 +35,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by materialise."""
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        if root.split("://")[-1].removeprefix("file:") in f:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,7 @@ from tests.llm.test_text_ops import ODD, docs
 from tidemark.llm import quality_rules as qr
 from tidemark.llm.license_scan import TEMPLATES, THRESHOLD, license_scan
 from tidemark.llm.line_dedup import line_dedup
-from tidemark.llm.mixing import mix_sources, schedule, shares
+from tidemark.llm.mixing import mix_sources, place_blocks, schedule, shares
 
 
 def ws(text):
@@ -100,6 +100,29 @@ def test_pfair_lag_below_one_block():
             assert all(abs(done[k] - share[k] * (t + 1) / d) < 1 for k in share)
 
 
+def test_lag_below_one_block_of_the_target_weights(spark):
+    """Over a whole skewed schedule, where whole shares would drift away from the weights."""
+    weights = {"hot": 3000, **{f"s{i}": 1 for i in range(300)}}
+    df = spark.range(60_300).selectExpr("id as doc_id", "if(id < 60000, 'hot', concat('s', id - 60000)) as source")
+    total = sum(weights.values())
+    for r in mix_sources(df, weights).groupBy("source", "block").agg({"slot": "max"}).collect():
+        w, slot = weights[r.source] / total, r[2]
+        assert w * slot - r.block < 1  # blocks before the slot
+        assert r.block + 1 - w * (slot + 1) < 1
+
+
+def test_lag_at_every_slot():
+    weights, blocks = {"a": 2**0.5, "b": 1, "c": 1e-3, None: 0.3}, {"a": 9000, "b": 200, "c": 5, None: 0}
+    placed = place_blocks(weights, blocks)
+    total = sum(weights.values())
+    assert {s: len(x) for s, x in placed.items()} == blocks
+    assert len({t for x in placed.values() for t in x}) == sum(blocks.values())
+    for s, x in placed.items():
+        for j, t in enumerate(x):
+            w = weights[s] / total
+            assert w * t - j < 1 and j + 1 - w * (t + 1) < 1
+
+
 def test_mix_keeps_rows_and_ranks(spark):
     r = random.Random(2)
     rows = [(i, "t", None, r.choice(["a"] * 6 + ["b", None]), None, "z") for i in range(5000)] + [(1, "t", None, "a", None, "z")]

@@ -1,11 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a hashed order, are cut into blocks of `block_rows`. With weights a / D, block j of a source
-is released at slot floor(jD / a) and due at ceil((j + 1)D / a); one slot takes one block, and earliest deadline first
-over the released blocks meets every deadline, so that before any slot each source is less than one block away from
-its share. Releases and deadlines repeat every D slots, so the driver schedules D slots once (D is bounded by
-a parameter and the number of sources) and block j of a source runs at slot (j div a) D + slot of (j mod a).
-Slots of sources that have run out stay empty; every row is kept.
+Each source's documents, in a hashed order, are cut into blocks of `block_rows`. With exact rational weight w of a total of 1,
+block j of a source is released at slot floor(j / w) and due at ceil((j + 1) / w); one slot takes one block, and earliest
+deadline first over the released blocks meets every deadline, so that before any slot each source that has rows left is less
+than one block away from its target. The driver schedules the blocks that exist, over the whole length of the schedule
+(its time and 8 bytes a block grow with rows / block_rows). Slots of sources that have run out stay empty; every row is kept.
 
 Ranks inside a source are exact without gathering a source in one task: rows are dealt to ranges of the hashed order,
 ranges are counted, and a row's rank is its range's offset plus its place in the range.
@@ -15,6 +14,8 @@ extra columns are carried along.
 """
 
 import heapq
+from array import array
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.session import parts
 
 DENOMINATOR = 1000
+#: Slots in one row of the broadcast schedule.
+SLOTS_A_ROW = 1024
 
 
 def shares(weights: dict, denominator: int = DENOMINATOR) -> dict:
@@ -41,27 +44,38 @@ def shares(weights: dict, denominator: int = DENOMINATOR) -> dict:
     return out
 
 
-def schedule(share: dict) -> list:
-    """Source of each slot of one period, earliest deadline first among released blocks."""
-    d = sum(share.values())
-    names = sorted(share, key=str)
-    block = lambda k, j: (j * d // share[names[k]], -(-(j + 1) * d // share[names[k]]))
-    waiting = [(block(k, 0)[0], k, 0) for k in range(len(names))]
-    heapq.heapify(waiting)
+def place_blocks(weights: dict, blocks: dict) -> dict:
+    """Slots of each source's blocks, earliest deadline first among released blocks, in exact arithmetic."""
+    names = sorted(weights, key=str)
+    exact = [Fraction(weights[s]) for s in names]
+    total = sum(exact)
+    every = [(x.numerator, x.denominator) for x in (total / w for w in exact)]  # slots from one block to the next
+    release = lambda k, j: j * every[k][0] // every[k][1]
+    due = lambda k, j: -(-(j + 1) * every[k][0] // every[k][1])
+    waiting = [(0, k, 0) for k, s in enumerate(names) if blocks[s]]
     ready: list = []
-    out = []
-    for slot in range(d):
+    out = [array("q") for _ in names]
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (block(k, j)[1], k, j))
+            heapq.heappush(ready, (due(k, j), k, j))
         _, k, j = heapq.heappop(ready)
-        out.append(names[k])
-        if j + 1 < share[names[k]]:
-            heapq.heappush(waiting, (block(k, j + 1)[0], k, j + 1))
-    return out
+        out[k].append(slot)
+        if j + 1 < blocks[names[k]]:
+            heapq.heappush(waiting, (release(k, j + 1), k, j + 1))
+        slot += 1
+    return dict(zip(names, out, strict=True))
+
+
+def schedule(share: dict) -> list:
+    """Source of each slot of one period of whole shares."""
+    return [s for _, s in sorted(((t, s) for s, at in place_blocks(share, share).items() for t in at), key=lambda x: x[0])]
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int = 16, power: float = 0.5, denominator: int = DENOMINATOR) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int = 16, power: float = 0.5) -> DataFrame:
     """docs with src_rank, block, slot and position; weights default to source size to the power `power`."""
     spark = docs.sparkSession
     counts = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}
@@ -69,18 +83,14 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
     if not counts:
         return docs.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("src_rank", "block", "slot", "position")])
     target = {s: (weights or {}).get(s, 0.0) or (n**power if weights is None else 1e-9) for s, n in counts.items()}
-    share = shares(target, denominator)
-    seen: dict = {}
-    plan = []
-    for slot, s in enumerate(schedule(share)):
-        plan.append((s, seen.get(s, 0), slot))
-        seen[s] = seen.get(s, 0) + 1
-    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
-
-    slots = spark.createDataFrame(plan, StructType([StructField("_s", types), StructField("_k", LongType()), StructField("_at", LongType())]))
+    placed = place_blocks(target, {s: -(-n // block_rows) for s, n in counts.items()})
+    plan = [(s, at // SLOTS_A_ROW, slots[at : at + SLOTS_A_ROW].tolist()) for s, slots in placed.items() for at in range(0, len(slots), SLOTS_A_ROW)]
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+    slots = spark.createDataFrame(plan, StructType([StructField("_s", types), StructField("_k", LongType()), StructField("_at", ArrayType(LongType()))]))
     rows_a_range = max(256, sum(counts.values()) // (4 * parts(spark)))
-    facts = spark.createDataFrame([(s, share[s], -(-n // rows_a_range)) for s, n in counts.items()],
-                                  StructType([StructField("_s", types), StructField("_share", IntegerType()), StructField("_ranges", IntegerType())]))
+    facts = spark.createDataFrame([(s, -(-n // rows_a_range)) for s, n in counts.items()],
+                                  StructType([StructField("_s", types), StructField("_ranges", IntegerType())]))
     order = F.pmod(F.xxhash64(F.lit("order"), "doc_id"), F.lit(1 << 40))
     d = docs.withColumn("_o", order).join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     d = d.withColumn("_range", F.floor(F.col("_o") * F.col("_ranges") / F.lit(1 << 40)).cast("int"))
@@ -92,7 +102,6 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
     d = d.join(F.broadcast(offsets), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).drop("_s", "_r")
     d = d.withColumn("src_rank", (F.col("_before") + F.col("_in")).cast("bigint"))
     d = d.withColumn("block", F.floor(F.col("src_rank") / block_rows).cast("bigint"))
-    d = d.withColumn("_cycle", F.floor(F.col("block") / F.col("_share"))).withColumn("_j", F.col("block") % F.col("_share"))
-    d = d.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_j") == F.col("_k")))
-    d = d.withColumn("slot", (F.col("_cycle") * len(plan) + F.col("_at")).cast("bigint"))
+    d = d.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("_s")) & (F.floor(F.col("block") / SLOTS_A_ROW) == F.col("_k")))
+    d = d.withColumn("slot", F.get("_at", (F.col("block") % SLOTS_A_ROW).cast("int")))
     return d.select(*docs.columns, "src_rank", "block", "slot", (F.col("slot") * block_rows + F.col("src_rank") % block_rows).alias("position"))

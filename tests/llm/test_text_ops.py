@@ -68,6 +68,17 @@ def brute_hits(text, items, width=10):
     return len(w), len(hit), len(found - {None})
 
 
+def test_decontaminate_compares_words(monkeypatch):
+    """Where all windows have one hash, only those of the same words are found."""
+    import tidemark.llm.decontaminate as dc
+
+    monkeypatch.setattr(dc, "gram", lambda h, at, n: np.zeros(len(at), np.uint64))
+    win = dc.Windows([(1, "One two three"), (2, "one four three"), (3, "ONE two three"), (4, "one two")], 3)
+    win.set_rarity({})
+    texts = pa.RecordBatch.from_pydict({"text": ["x one TWO three", "one four tree", "one fore three", "One two thre"]})
+    assert dc.scan(texts, win)[2].tolist() == [[0, 0], [0, 2], [0, 3], [3, 3]]
+
+
 def test_decontaminate_brute(spark, monkeypatch):
     import tidemark.llm.decontaminate as dc
 

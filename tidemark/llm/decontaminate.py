@@ -5,7 +5,7 @@ contains a window only if it contains the window's rarest word, which is all of
 exact containment needs: words are ordered by their corpus counts, rarest first, and only prefix
 words are looked up. A hit fixes where the window would have to start; it is dropped if that lies
 before the text or if the text ends too soon (positional and length bounds), and is then verified
-over the whole window.
+over the whole window: by its hash, and what passes by the bytes of its words.
 
 Items go in blocks of bounded size, each broadcast once, against all documents; documents are never
 shuffled, so hot sources or many copies cannot meet in one task. Null texts have no words. Null
@@ -21,12 +21,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import NOT_ALNUM, Words, column, gram, slices
+from tidemark.llm.text import LOWER, NOT_ALNUM, Words, column, gram, slices
 
 #: Bytes of item text in a broadcast block.
 BLOCK_BYTES = 4 << 20
 
 
+def same_words(a: tuple, at: np.ndarray, b: tuple, to: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether n words from `at` and from `to` have the same bytes in lower case; a and b are (data, starts, ends) of words."""
+    ok = np.ones(len(at), bool)
+    for j in range(int(n.max(initial=0))):
+        rows = np.flatnonzero(ok & (n > j))
+        x, y = at[rows] + j, to[rows] + j
+        size = a[2][x] - a[1][x]
+        equal = size == b[2][y] - b[1][y]
+        ok[rows[~equal]] = False
+        rows, x, y, size = rows[equal], x[equal], y[equal], size[equal]
+        if len(rows):
+            first = np.cumsum(size) - size
+            inside = np.arange(size.sum()) - np.repeat(first, size)
+            other = LOWER[a[0][np.repeat(a[1][x], size) + inside]] != LOWER[b[0][np.repeat(b[1][y], size) + inside]]
+            ok[rows] = ~np.logical_or.reduceat(other, first)
+    return ok
+
+
 class Windows:
     """Distinct windows of a block of items, grouped by their rarest word."""
 
@@ -44,8 +62,18 @@ class Windows:
         key = np.zeros(len(at), np.uint64)
         for n in np.unique(size):
             key[size == n] = gram(w.hash, at[size == n], int(n))
-        self.keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        self.at, self.size = at[first], size[first]
+        self.words = data, w.start, w.end
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        copy = np.flatnonzero(first[inverse] != np.arange(len(key)))
+        while len(copy):
+            other = first[inverse[copy]]
+            same = same_words(self.words, at[copy], self.words, at[other], np.minimum(size[copy], size[other]))
+            copy = copy[~same | (size[copy] != size[other])]
+            # One hash, other words: windows of their own.
+            _, begin, again = np.unique(inverse[copy], return_index=True, return_inverse=True)
+            inverse[copy] = len(first) + again
+            first = np.append(first, copy[begin])
+        self.keys, self.at, self.size = key[first], at[first], size[first]
         order = np.argsort(inverse, kind="stable")
         self.items = item[order]
         self.item_from = np.searchsorted(inverse[order], np.arange(len(self.keys) + 1))
@@ -125,6 +153,8 @@ def scan(batch: pa.RecordBatch, win: Windows) -> tuple[Words, np.ndarray, np.nda
         of = np.flatnonzero(win.size[cand] == n)
         same[of] = gram(w.hash, start[of], int(n)) == win.keys[cand[of]]
     start, cand, doc = start[same], cand[same], doc[same]
+    same = same_words((column(batch, "text")[0], w.start, w.end), start, win.words, win.at[cand], win.size[cand])
+    start, cand, doc = start[same], cand[same], doc[same]
     spans = np.stack([start, start + win.size[cand]], 1) if len(start) else np.zeros((0, 2), np.int64)
     many = win.item_from[cand + 1] - win.item_from[cand]
     rows = np.repeat(np.arange(len(cand)), many)

@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_text_ops import ODD, docs
 from tidemark.llm import quality_rules as qr
 from tidemark.llm.license_scan import TEMPLATES, THRESHOLD, license_scan
@@ -78,16 +80,77 @@ def test_license_brute(spark):
     assert license_scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_line_dedup(spark):
-    long = "This line is long enough to be a unit"
-    texts = [None, "", f"{long}\nshort\nshort", f"a\n  this  LINE is long enough to be a unit \nshort\n{long}", f"{long}\n{long}"]
-    got = {r.doc_id: r for r in line_dedup(docs(spark, texts)).collect()}
-    assert [got[i].n_removed for i in range(5)] == [0, 0, 0, 2, 2]
-    assert got[0].text is None and got[0].n_units == 0 and got[3].text == "a\nshort" and got[4].text == ""
-    assert [(k.line, texts[3][k.start:k.end]) for k in got[3].kept] == [(0, "a"), (2, "short")]
-    assert got[2].extra == "z"
-    twice = docs(spark, texts).union(docs(spark, texts))
-    assert line_dedup(twice).count() == 10 and line_dedup(twice.limit(0)).count() == 0
+def brute_units(text):
+    """(start, end, words) of the units, from the text alone."""
+    out, words = [], [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    for i, (s, e) in enumerate(words):
+        if not out or text[words[i - 1][1] - 1] in ".!?" or "\n" in text[words[i - 1][1]:s]:
+            out.append([s, s, []])
+        out[-1][1] = words[i + 1][0] if i + 1 < len(words) else len(text)
+        out[-1][2].append("".join(c.lower() if c.isascii() else c for c in text[s:e]))
+    return out
+
+
+def brute_dedup(rows, least):
+    """(units, removed units, text) of (doc_id, text) rows in rank order."""
+    seen, out = set(), []
+    for _, text in rows:
+        units, gone = brute_units(text), set()
+        for u in range(len(units)):
+            n, v = 0, u
+            while v < len(units) and n < least:
+                n += len(units[v][2])
+                v += 1
+            if n >= least:
+                key = tuple(w for x in units[u:v] for w in x[2])
+                gone |= set(range(u, v)) if key in seen else set()
+                seen.add(key)
+        head = (text or "")[: units[0][0]] if units else text or ""
+        out.append((len(units), len(gone), head + "".join(text[s:e] for i, (s, e, _) in enumerate(units) if i not in gone)))
+    return out
+
+
+def told(rows):
+    return sorted((r.doc.doc_id is not None, r.doc.doc_id or 0, r.n_units, r.n_removed, r.text or "") for r in rows)
+
+
+def test_line_dedup_brute(spark):
+    r = random.Random(4)
+    sentences = [" ".join(r.choice(["a", "B", "cé", "d,"]) for _ in range(r.randrange(1, 7))) + r.choice([".", "!", "", "\n", " ?"]) for _ in range(40)]
+    texts = [r.choice(["", "\n ", "  "]) + "".join(r.choice(sentences) + r.choice([" ", "\n", " \n\t"]) for _ in range(r.randrange(30))) for _ in range(80)] + ODD
+    texts += ["x. " * 50, texts[0], texts[1].upper(), ". . . ! ?", "\n\n \n", "one long unit without an end " * 9] * 2
+    for least in (1, 8, 25):
+        got = told(line_dedup(docs(spark, texts), least).collect())
+        want = brute_dedup(list(enumerate(texts)), least)
+        assert got == sorted((True, i, *x) for i, x in enumerate(want))
+
+
+def test_line_dedup_offsets_and_columns(spark):
+    long = "This line is long enough to be a unit, as it has many more words."
+    text = f"à\n  this  LINE is long enough to be a unit, AS it has many more words. \nshort\n{long}"
+    df = docs(spark, [f"{long}\nshort\nshort", text, None]).withColumns({c: F.lit(1) for c in ("kept", "n_removed", "d1", "u", "_k", "doc", "gone", "copy", "count")})
+    got = {r.doc.doc_id: r for r in line_dedup(df, 8).collect()}
+    raw = text.encode()
+    assert got[1].text == "à\n  short\n" and [(k.unit, raw[k.start:k.end].decode()) for k in got[1].kept] == [(0, "à\n  "), (2, "short\n")]
+    assert got[2].text is None and got[2].n_units == 0 and got[2].kept == [] and got[0].doc.extra == "z" and got[0].doc.kept == 1 and got[0].n_removed == 0
+    assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_line_dedup_repeated_rows_and_null_ids(spark):
+    long = "nine words that make one unit of their own. "
+    rows = [(7, long * 2), (7, long * 2), (7, long * 2), (None, long + "tail"), (7, "other text of exactly eight words in all."), (7, None), (7, None)]
+    got = told(line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect())
+    assert [(x[0], x[2], x[3]) for x in got] == [(False, 2, 0), (True, 0, 0), (True, 0, 0), (True, 1, 0), (True, 2, 2), (True, 2, 2), (True, 2, 2)]
+    same = spark.createDataFrame([(7, long)] * 3, "doc_id bigint, text string")
+    assert sorted(r.n_removed for r in line_dedup(same, 8).collect()) == [0, 1, 1]
+
+
+def test_line_dedup_very_long_text(spark):
+    """A million lines, the second half of which repeats the first; a line that is everywhere."""
+    lines = [f"line {i} holds {i * 7} and {i * 11} words of it" for i in range(500_000)]
+    df = spark.createDataFrame([(0, "\n".join(lines + lines))] + [(i, "the very same line stands in all of these texts") for i in range(1, 2000)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in line_dedup(df, 9).select("doc.doc_id", "n_units", "n_removed").collect()}
+    assert (got[0].n_units, got[0].n_removed) == (1_000_000, 500_000) and got[1].n_removed == 0 and all(got[i].n_removed == 1 for i in range(2, 2000))
 
 
 def test_pfair_lag_below_one_block():

@@ -105,17 +105,24 @@ def op6_suffix_dedup(spark, sf):
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS u FROM documents),
- n AS (SELECT doc_id, u, line, lower(trim(regexp_replace(line, '[ \t-\r]+', ' ', 'g'))) AS k FROM l),
- r AS (SELECT *, length(k) >= 20 AND row_number() OVER (PARTITION BY length(k) >= 20, k ORDER BY doc_id, u) > 1 AS gone FROM n),
- g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY u) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, length(coalesce(kept, '')) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN g USING (doc_id)
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, regexp_extract(text, '^[\x20\x09-\x0D]*') AS head,
+   list_filter(regexp_extract_all(regexp_replace(text, '^[\x20\x09-\x0D]*', ''), '(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|$)'), lambda x : x <> '') AS us FROM documents),
+ w AS (SELECT rid, doc_id, u, t, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+   FROM (SELECT rid, doc_id, unnest(us) AS t, unnest(range(len(us))) AS u FROM d)),
+ c AS (SELECT rid, doc_id, u, e - len(w) AS s, e FROM (SELECT *, sum(len(w)) OVER (PARTITION BY rid ORDER BY u) AS e FROM w)),
+ f AS (SELECT rid, flatten(list(w ORDER BY u)) AS f FROM w GROUP BY rid),
+ p AS (SELECT a.rid, a.doc_id, a.u, b.u AS v, a.s, b.e FROM c a ASOF JOIN c b ON a.rid = b.rid AND a.s + 25 <= b.e),
+ k AS (SELECT p.*, md5(array_to_string(f[CAST(s + 1 AS BIGINT) : CAST(e AS BIGINT)], ' ')) AS k FROM p JOIN f USING (rid)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, rid, u) > 1 AS later FROM k),
+ g AS (SELECT DISTINCT rid, unnest(range(u, v + 1)) AS u FROM r WHERE later),
+ n AS (SELECT rid, count(*) AS n_units, count(g.u) AS n_removed, coalesce(string_agg(t, '' ORDER BY u) FILTER (g.u IS NULL), '') AS kept FROM w LEFT JOIN g USING (rid, u) GROUP BY rid),
+ o AS (SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(head, '') || coalesce(kept, '') AS kept FROM d LEFT JOIN n USING (rid))
+SELECT doc_id, n_units, n_removed, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM o
 """)
 def op7_line_dedup(spark, sf):
     d = line_dedup.line_dedup(table(spark, sf, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))
-    return d.select("doc_id", "n_units", "n_removed", F.length(kept).cast("bigint").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    return d.select("doc.doc_id", "n_units", "n_removed", F.length(kept).cast("bigint").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 @query()

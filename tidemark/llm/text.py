@@ -86,11 +86,11 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
 
 
 class Words:
-    """Words of a batch: start and end bytes, hash, and each text's range of words (lo, hi)."""
+    """Words of a batch: start and end bytes, hash, and each text's range of words (lo, hi). Other values give another hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, values: np.ndarray = _VALUES):
         begin, end = int(offsets[0]), int(offsets[-1])
-        values = table(_VALUES, separators)
+        values = table(values, separators)
         firsts = np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
         starts, ends, hashes = [], [], []
         at = begin

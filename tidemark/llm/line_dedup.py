@@ -8,7 +8,8 @@ its units; the earliest is that of the least (doc_id, hash of the text, unit). E
 
 Digests are first counted, 64 bits of each, by one aggregation with map-side combining. The paragraphs of repeated ones, a small part,
 are written to a table, in which the earliest of each is found and joined back. A very common paragraph is combined before it is shuffled in the counts and
-split by adaptive skew handling in both joins, as its digest has one row on the other side.
+split by adaptive skew handling in both joins, as its digest has one row on the other side; that side is written first, so that each join reads
+two plain tables and can be split.
 
 A null text has no units and stays null; an empty one, or one of white space, has none and stays. Very long texts are cut into words piece by piece.
 A null doc_id ranks first. Of repeated rows (doc_id and text alike) one counts as the first, and of the others every paragraph goes. An
@@ -109,10 +110,10 @@ def cut(text: bytes, units: Units, of: int, base: int, gone: np.ndarray) -> tupl
 
 def line_dedup(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """doc, text without later paragraphs, n_units, n_removed, and kept: (unit, start, end) in bytes of the original text, white space after a unit included."""
-    repeated = paragraph_digests(docs, min_words, False).groupBy("d1").count().where("count > 1").select("d1")
+    repeated = materialise(paragraph_digests(docs, min_words, False).groupBy("d1").count().where("count > 1").select("d1"), "digests")
     found = materialise(paragraph_digests(docs, min_words, True).join(repeated, "d1", "left_semi"), "paragraphs")
     rank = F.struct("_n", "_i", "_k", "u")
-    firsts = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    firsts = materialise(found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first"), "firsts")
     gone = found.join(firsts, ["d1", "d2"]).where(rank != F.col("first")).select("_n", "_i", "_k", F.struct("u", "v").alias("run"))
     gone = gone.groupBy("_n", "_i", "_k").agg(F.collect_set("run").alias("gone"))
     rest = [c for c in docs.columns if c != "text"]

@@ -1,6 +1,8 @@
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from tests.llm.test_text_ops import ODD, docs
 from tidemark.llm import quality_rules as qr
 from tidemark.llm.license_scan import TEMPLATES, THRESHOLD, license_scan
 from tidemark.llm.line_dedup import line_dedup
-from tidemark.llm.mixing import mix_sources, place_blocks, schedule, shares
+from tidemark.llm.mixing import mix_sources, place_blocks, rows_a_block
 
 
 def ws(text):
@@ -153,14 +155,49 @@ def test_line_dedup_very_long_text(spark):
     assert (got[0].n_units, got[0].n_removed) == (1_000_000, 500_000) and got[1].n_removed == 0 and all(got[i].n_removed == 1 for i in range(2, 2000))
 
 
-def test_pfair_lag_below_one_block():
-    for w in ({"a": 1, "b": 1, "c": 7, None: 0.3}, {str(i): 1 / (i + 1) for i in range(23)}, {"x": 5.0}):
-        share = shares(w)
-        d = sum(share.values())
-        done = defaultdict(int)
-        for t, s in enumerate(schedule(share)):
+def brute_pfair(weights, blocks):
+    """Slot by slot, over all sources: the released block that is due first, by exact fractions."""
+    total = sum(Fraction(w) for w in weights.values())
+    done, out, slot = dict.fromkeys(weights, 0), {}, 0
+    while len(out) < sum(blocks[s] for s in weights):
+        every = {s: total / Fraction(w) for s, w in weights.items()}
+        ready = [(math.ceil((done[s] + 1) * every[s]), str(s), s) for s in weights if done[s] < blocks[s] and math.floor(done[s] * every[s]) <= slot]
+        if ready:
+            s = min(ready)[2]
+            out[s, done[s]] = slot
             done[s] += 1
-            assert all(abs(done[k] - share[k] * (t + 1) / d) < 1 for k in share)
+        slot += 1
+    return out
+
+
+def test_mixing_brute_through_spark(spark):
+    r = random.Random(6)
+    for weights in ({"a": 5, "b": 1, None: 2}, {"a": 2**0.5, "b": 0.1, None: 1 / 3}, {"a": 1, "b": 0}, None):
+        rows = [(i, r.choice("aaaaab"), i) for i in range(900)] + [(i, None, i) for i in range(900, 930)]
+        df = spark.createDataFrame(rows, "doc_id bigint, source string, slot bigint").withColumns({c: F.lit(7) for c in ("block", "_s", "s", "k", "at", "doc", "range", "before")})
+        got = mix_sources(df, weights=weights, block_rows=4).collect()
+        n = Counter(x[1] for x in rows)
+        target = {s: w for s, w in ((s, n[s] ** 0.5 if weights is None else weights.get(s, 0)) for s in n) if w}
+        want = brute_pfair(target, {s: -(-k // 4) for s, k in n.items()})
+        assert len(got) == len(rows) and set(got[0].asDict()) == set(df.columns) | {"src_rank", "block", "slot", "position"}
+        for x in got:
+            slot = want.get((x.source, x.src_rank // 4))
+            assert x.slot == slot and x._s == 7 and x.block == x.src_rank // 4 and x.position == (None if slot is None else 4 * slot + x.src_rank % 4)
+
+
+def test_lag_at_a_million_slots():
+    """Irrational weights over a whole long schedule, against the exact targets."""
+    weights = {"a": 2**0.5, "b": 3**0.5, "c": 1.0}
+    total = sum(Fraction(w) for w in weights.values())
+    placed = place_blocks(weights, {s: int(1_000_000 * Fraction(w) / total) for s, w in weights.items()})
+    for s, x in placed.items():
+        w = Fraction(weights[s]) / total
+        for j in (*range(0, len(x), 997), len(x) - 1):
+            assert w * x[j] - j < 1 and j + 1 - w * (x[j] + 1) < 1
+
+
+def test_blocks_are_bounded():
+    assert rows_a_block(1000) == 16 and -(-10**11 // rows_a_block(10**11)) <= 1 << 20
 
 
 def test_lag_below_one_block_of_the_target_weights(spark):
@@ -168,7 +205,7 @@ def test_lag_below_one_block_of_the_target_weights(spark):
     weights = {"hot": 3000, **{f"s{i}": 1 for i in range(300)}}
     df = spark.range(60_300).selectExpr("id as doc_id", "if(id < 60000, 'hot', concat('s', id - 60000)) as source")
     total = sum(weights.values())
-    for r in mix_sources(df, weights).groupBy("source", "block").agg({"slot": "max"}).collect():
+    for r in mix_sources(df, weights=weights).groupBy("source", "block").agg({"slot": "max"}).collect():
         w, slot = weights[r.source] / total, r[2]
         assert w * slot - r.block < 1  # blocks before the slot
         assert r.block + 1 - w * (slot + 1) < 1

@@ -59,29 +59,51 @@ def brute_license(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     base = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
     places = [(i, l) for p, l in base.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
-    labels = {l for _, l in places}
-    for t, l in TEMPLATES.items():
+    found = {}
+    for t in TEMPLATES:
         ts = set(t.split())
+        least = THRESHOLD * len(ts) - 1e-9
+        others = [set(o.split()) for o in TEMPLATES if o != t]
         reach = len(t.split()) + len(t.split()) // 2
-        if any(len(ts & set(w[i:i + reach])) >= THRESHOLD * len(ts) - 1e-9 for i in range(len(w))):
-            labels.add(l)
-    return len(w), len(places), min([i for i, _ in places], default=None), ",".join(sorted({l for _, l in places})), ",".join(sorted(labels))
+        for i in range(len(w)):
+            block = set(w[i:i + reach])
+            share = len(ts & block)
+            if share >= least and all(block & (ts - o) for o in others if len(ts & o) >= least and ts - o):
+                found[t] = max(found.get(t, 0), share / len(ts))
+    found = {t: x for t, x in found.items() if not any(set(t.split()) < set(o.split()) for o in found)}
+    labels = {l for _, l in places} | {TEMPLATES[t] for t in found}
+    at = [i for i, _ in places]
+    return (len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({l for _, l in places})), ",".join(sorted(labels)),
+            max(found.values(), default=0.5 if places else 0.0))
 
 
 def test_license_brute(spark):
     r = random.Random(8)
     pool = [w for t in TEMPLATES for w in t.split()] + ["MIT License", "mit license mit license", "Apache  License,", "the", "of", "foo"]
     texts = ODD + [t.title() + "." for t in TEMPLATES] + [" ".join(r.choice(pool) for _ in range(40)) for _ in range(40)]
-    texts += ["foo bar Licensed under the Apache License version.", "All rights RESERVED", "rights reserved", "GNU General Public\nLicense"]
-    got = {x.doc_id: x for x in license_scan(docs(spark, texts)).collect()}
+    texts += [" ".join(w for w in t.split() if r.random() > 0.1) for t in TEMPLATES] + ["foo " * 30 + " ".join(r.sample(t.split(), len(t.split()))) for t in TEMPLATES]
+    texts += ["foo bar Licensed under the Apache License version.", "All rights RESERVED", "rights reserved", "GNU General Public\nLicense", "MIT \u212aLicense", "Licensed under CC BY-NC 4.0."]
+    texts += [texts[-1]] * 2 + ["word " * 200_000 + "released under the MIT license"]
+    df = docs(spark, texts).withColumns({c: F.lit(1) for c in ("w", "found", "labels", "n_words", "base", "ts")})
+    got = {x.doc_id: x for x in license_scan(df).collect()}
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        n, n_base, first, base, labels = brute_license(t)
+        n, n_base, first, last, base, labels, score = brute_license(t) if len(t or "") < 100_000 else (200_005, 1, 200_003, 200_003, "mit", "mit,mit-notice", 1.0)
         g = got[i]
-        assert (g.n_words, g.n_base, g.first_word, g.base_labels) == (n, n_base, first, base), t
-        assert g.labels == labels and (g.score > 0) == (labels != "") and g.score <= 1
+        assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels, g.labels) == (n, n_base, first, last, base, labels), t
+        assert abs(g.score - score) < 1e-9, t
     assert license_scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_license_labels_do_not_contradict(spark):
+    texts = list(TEMPLATES) + ["Licensed under CC BY-NC 4.0"]
+    got = {x.doc_id: x.labels.split(",") for x in license_scan(docs(spark, texts)).collect()}
+    for i, name in enumerate(TEMPLATES.values()):
+        family = {x for x in got[i] if x.split("-")[0] == name.split("-")[0] and "-" in x and not x.endswith(("notice", "grant"))}
+        assert name in got[i] and len(family) <= 1, (name, got[i])
+    assert got[len(TEMPLATES)] == ["cc-by-nc-4.0-notice"]
+
+
 def brute_units(text):
     """(start, end, words) of the units, from the text alone."""
     out, words = [], [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]

@@ -125,12 +125,16 @@ def test_engine_lifecycle(spark, tmp_path):
     assert again.epoch == 1
     again.put(kv(("a", "newer")))
     assert again.get("a") == "newer" and len(again.table.live()) == 4
-    again.snapshot(str(tmp_path / "snap"))
+    assert not again.load_snapshot(str(tmp_path / "snap")).found
+    again.snapshot(str(tmp_path / "snap"), 7, 2)
+    again.snapshot(str(tmp_path / "snap"), 9, 3)
     assert again.compact() and len(again.table.live()) == 1 and len(again.table.vacuum()) == 4
     assert {r.key: r.value for r in again.state().collect()} == {"a": "newer", "b": ""}
     again.restore(kv(("r", "1")))
     assert [r.key for r in again.state().collect()] == ["r"]
-    again.restore(spark.read.parquet(str(tmp_path / "snap")))
+    saved = again.load_snapshot(str(tmp_path / "snap"))
+    assert saved[:3] == (True, 9, 3)
+    again.restore(saved.rows)
     assert again.status().first().key_count == 2
     with pytest.raises(InvalidInput):
         again.put(kv(("", "x")))
@@ -142,6 +146,70 @@ def test_engine_lifecycle(spark, tmp_path):
     assert read_hard_state(spark, str(tmp_path / "none.json")).first().current_term == 0
 
 
+def test_writes_of_many_partitions_have_one_order(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "t"))
+    rows = spark.range(200).repartition(200).selectExpr("concat('k', id) as key", "string(id) as value")
+    e.put(rows)
+    e.put(rows.selectExpr("key", "concat(value, '!') as value"))
+    assert e.log().select("key", "seq").distinct().count() == 400
+    assert {r.value for r in e.state().collect()} == {f"{i}!" for i in range(200)}
+    with pytest.raises(InvalidInput, match="more than once"):
+        e.put(rows.unionByName(rows))
+
+
+def test_delete_of_an_absent_key_writes_nothing(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "t"))
+    e.put(spark.createDataFrame([("a", "1")], "key string, value string"))
+    assert [r.key for r in e.delete(spark.createDataFrame([("b",)], "key string")).collect()] == ["b"]
+    assert e.log().count() == 1 and len(e.table.live()) == 1
+    assert e.delete(spark.createDataFrame([("a",)], "key string")).count() == 0 and e.state().count() == 0
+
+
+def test_sink_writes_a_retried_batch_once(spark, tmp_path):
+    table = Generations(spark, str(tmp_path / "g"))
+    write = streaming.sink_generations(table)
+    batch = spark.createDataFrame([(0, 1, "a", "put", "x")], LOG)
+    write(batch, 7)
+    write(batch, 7)
+    assert len(table.live()) == 1
+    write(batch, 8)
+    streaming.sink_generations(table, "other")(batch, 8)
+    assert len(table.live()) == 3
+
+
+def test_large_rings_join_without_a_broadcast(spark, monkeypatch):
+    keys = spark.range(300).selectExpr("concat('k', id) as key")
+    ring = placement.vnodes(spark, ["a", "b", "c"])
+    want = {r.key: r.nodes for r in placement.owners(keys, ring, 3).collect()}
+    monkeypatch.setattr(placement, "MAX_BROADCAST_NODES", 2)
+    got = placement.owners(keys, ring, 3)
+    assert {r.key: r.nodes for r in got.collect()} == want and all(sorted(n) == ["a", "b", "c"] for n in want.values())
+
+
+def test_sorted_files_of_many_tasks(spark):
+    rows = [(f"key-{i:06d}", f"val-{i}", i % 7 == 0, i + 1) for i in range(3000)]
+    entries = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "key string, value string, tombstone boolean, seq bigint")
+    made = files.sorted_files(entries, file_bytes=8000).cache()
+    spans = sorted((r.first_key, r.last_key) for r in made.select("first_key", "last_key").collect())
+    assert len(spans) > 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert sorted((r.key, r.value.decode(), r.tombstone, r.seq) for r in files.entries_of(made).collect()) == rows
+    assert files.sorted_files(entries.limit(0)).count() == 0
+
+
+def test_watch_stream_ticks(spark, tmp_path):
+    rows = [(0, i, f"k{i % 3}", "put" if i % 4 else "delete", str(i) if i % 4 else None, f"2024-01-01 {i // 4:02d}:{i % 4}0:00") for i in range(40)]
+    log = spark.createDataFrame(rows, LOG + ", t string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    q = streaming.watch_stream(stream).writeStream.format("memory").queryName("ticks").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {tuple(r) for r in watch.changes(spark.table("ticks")).collect()}
+    want = {tuple(r) for r in watch.watch_changes(log).collect()}
+    last = max(r[1] for r in want)
+    assert got and {r for r in want if r[1] < last} <= got <= want
+
+
 def test_config():
     with pytest.raises(InvalidInput, match="HTTP_ADDR, GRPC_ADDR, DATA_DIR"):
         NodeConfig.from_env({"NODE_ID": "n"})

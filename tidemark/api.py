@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import layers, metrics, mutations
-from tidemark.sources.manifest import Generations
+from tidemark.sources.manifest import Generations, Snapshot, Snapshots
 
 
 class NotFound(KeyError):
@@ -49,20 +49,26 @@ class Engine:
         self._append(rows.select("key", F.lit("put").alias("op"), F.coalesce("value", F.lit("")).alias("value")))
 
     def delete(self, keys: DataFrame) -> DataFrame:
-        """Appends tombstones and returns the keys that were not alive."""
-        wanted = keys.select("key").distinct()
-        missing = wanted.join(self.state(), "key", "left_anti").select("key").collect() if wanted.take(1) else []
-        self._append(wanted.select("key", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("value")))
-        return self.spark.createDataFrame(missing, "key string")
+        """Appends tombstones for the keys that are alive, if any is, and returns those that are not."""
+        wanted, before = keys.select("key").distinct(), self.state()
+        alive = wanted.join(before, "key", "left_semi")
+        if not alive.isEmpty():
+            self._append(alive.select("key", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("value")))
+        return wanted.join(before, "key", "left_anti").select("key")
 
     def _append(self, rows: DataFrame) -> None:
-        if not rows.where("key IS NULL OR key = ''").isEmpty():
+        """One generation under one sequence number; nothing would order two rows of a key, so these are refused."""
+        per_key = rows.groupBy("key").agg(F.count("*").alias("n"))
+        bad, twice = per_key.agg(F.count_if(F.expr("key IS NULL OR key = ''")), F.count_if(F.col("n") > 1)).first()
+        if bad:
             raise InvalidInput("a key is null or empty")
+        if twice:
+            raise InvalidInput(f"{twice} keys occur more than once in one write")
+        self.table.append(self._numbered(rows))
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
         self.seq += 1
-        step = self.seq << 40
-        numbered = rows.select(F.lit(self.epoch).cast("bigint").alias("epoch"), (F.lit(step) + F.monotonically_increasing_id() % (1 << 40)).alias("seq"),
-                               "key", "op", "value")
-        self.table.append(numbered)
+        return rows.select(F.lit(self.epoch).cast("bigint").alias("epoch"), F.lit(self.seq).cast("bigint").alias("seq"), "key", "op", "value")
 
     def log(self) -> DataFrame:
         return self.table.read()
@@ -88,16 +94,17 @@ class Engine:
         self.table.replace(live, old)
         return True
 
-    def snapshot(self, path: str) -> None:
-        self.state().select("key", "value").write.mode("overwrite").parquet(path)
+    def snapshot(self, path: str, last_index: int = 0, last_term: int = 0) -> None:
+        """Saves the state under `path`; a reader sees the snapshot before it or this one, whole."""
+        Snapshots(self.spark, path).save(self.state(), last_index, last_term)
+
+    def load_snapshot(self, path: str) -> Snapshot:
+        return Snapshots(self.spark, path).load()
 
     def restore(self, snapshot: DataFrame) -> None:
         """Replaces the whole state; readers see either the old or the new one."""
         old = self.table.live()
-        self.seq += 1
-        rows = snapshot.select(F.lit(self.epoch).cast("bigint").alias("epoch"), (F.lit(self.seq << 40) + F.monotonically_increasing_id() % (1 << 40)).alias("seq"),
-                               "key", F.lit("put").alias("op"), "value")
-        self.table.replace(rows, old)
+        self.table.replace(self._numbered(snapshot.select("key", F.lit("put").alias("op"), "value")), old)
 
     def metrics(self) -> DataFrame:
         return metrics.metrics_long(self.log())

@@ -92,7 +92,29 @@ def catch_up_plan(followers: DataFrame) -> DataFrame:
 
 
 def install_snapshot(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("accepted", F.col("term") >= F.col("current_term"))
+    """Answers to snapshot requests: a stale term is refused; an accepted snapshot past the log's start moves the start and raises the term."""
+    ok = F.col("term") >= F.col("current_term")
+    newer = ok & (F.col("snap_last_index") > F.col("log_start"))
+    return (requests.withColumn("accepted", ok).withColumn("installed", newer)
+            .withColumn("new_term", F.greatest("term", "current_term")).withColumn("new_start", F.when(newer, F.col("snap_last_index")).otherwise(F.col("log_start"))))
+
+
+def restored(entries: DataFrame, snapshot: DataFrame, snap_last_index: int) -> DataFrame:
+    """State after a snapshot has replaced the log up to its index and the entries after it were applied."""
+    base = snapshot.select(F.lit(snap_last_index).cast("bigint").alias("idx"), F.lit("put").alias("op"), "key", "value")
+    return applied_state(base.unionByName(snapshot_cut(entries, snap_last_index).select("idx", "op", "key", "value")))
+
+
+def election(prevotes: DataFrame, requests: DataFrame, peers: int, log_term: int = 0, log_index: int = 0) -> DataFrame:
+    """Elections by (term, candidate): only a candidate that a quorum would vote for, itself included, asks for votes; a quorum of those elects it.
+
+    prevotes hold a row for each peer asked, with `candidate` and what prevote_decision reads; requests are those that vote_fold reads.
+    """
+    ahead = (prevote_decision(prevotes).groupBy("candidate", F.col("next_term").alias("term")).agg(F.count_if("granted").alias("prevotes"))
+             .where(F.col("prevotes") + 1 >= quorum(peers)))
+    asked = requests.join(ahead, ["candidate", "term"], "left_semi")
+    won = vote_quorum(vote_fold(asked, 0, log_term, log_index), peers)
+    return ahead.join(won, ["candidate", "term"], "left").select("term", "candidate", "prevotes", F.coalesce("votes", F.lit(0)).alias("votes"), F.coalesce("won", F.lit(False)).alias("won"))
 
 
 def leader_timeline(roles: DataFrame) -> DataFrame:

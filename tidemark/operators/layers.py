@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.mutations import current_state, latest
+from tidemark.operators.mutations import current_state
 
 #: Fixed value: live generations that make a compaction due.
 COMPACTION_TRIGGER = 4
@@ -106,7 +106,3 @@ def block_index_lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return (marks.unionByName(asks).withColumn("found", F.last("block", ignorenulls=True).over(w))
             .where("kind = 1").select("file", F.col("k").alias("key"), F.col("found").alias("block")))
-
-
-def raw_latest(log: DataFrame) -> DataFrame:
-    return latest(log)

@@ -19,6 +19,18 @@ def metrics_long(log: DataFrame) -> DataFrame:
     return wide.unpivot([], names, "metric", "value").orderBy("metric")
 
 
+def all_counters(log: DataFrame, gets: DataFrame, requests: DataFrame, acks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(metric, value) of all COUNTERS: the log's own, gets (found), requests (forwarded), acks (writes, acked) and terms (term)."""
+    told = [gets.agg(F.count("*").alias("get_total"), F.count_if(~F.col("found")).alias("get_miss")),
+            requests.agg(F.coalesce(F.sum(F.when(F.col("forwarded"), F.col("n_requests"))), F.lit(0)).alias("forwarded_requests")),
+            acks.agg(F.coalesce(F.sum(F.col("writes") - F.col("acked")), F.lit(0)).alias("replication_errors")),
+            terms.agg(F.coalesce(F.max("term"), F.lit(0)).cast("bigint").alias("raft_term"))]
+    out = metrics_long(log)
+    for t in told:
+        out = out.unionByName(t.unpivot([], t.columns, "metric", "value"))
+    return out.orderBy("metric")
+
+
 def metrics_map(long: DataFrame) -> DataFrame:
     return long.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
 

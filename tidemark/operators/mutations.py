@@ -54,6 +54,23 @@ def as_of(log: DataFrame, seq: int, epoch: int = 0) -> DataFrame:
     return current_state(log.where((F.col("epoch") < epoch) | ((F.col("epoch") == epoch) & (F.col("seq") <= seq))))
 
 
+def half_way(log: DataFrame) -> int:
+    """Half of the highest sequence number: a snapshot point in the middle of a log."""
+    return (log.agg(F.max("seq")).first()[0] or 0) // 2
+
+
+def scan(log: DataFrame, start: str | None = None, end: str | None = None, prefix: str | None = None) -> DataFrame:
+    """Live keys in order, from `start` up to but without `end`, or with a prefix; the bounds reach the Parquet scan."""
+    wanted = log
+    if start is not None:
+        wanted = wanted.where(F.col("key") >= start)
+    if end is not None:
+        wanted = wanted.where(F.col("key") < end)
+    if prefix is not None:
+        wanted = wanted.where(F.col("key").startswith(prefix))
+    return current_state(wanted).orderBy("key")
+
+
 def state_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Keys added, removed or changed between two states."""
     a = before.select("key", F.struct("value").alias("a"))
@@ -97,12 +114,13 @@ def live_byte_deltas(log: DataFrame) -> DataFrame:
             .select("key", "epoch", "seq", (F.col("size") - F.coalesce(F.lag("size").over(w), F.lit(0))).alias("delta")))
 
 
-def live_bytes(log: DataFrame, slices: int = 64) -> DataFrame:
+def live_bytes(log: DataFrame, slices: int | None = None) -> DataFrame:
     """Running live bytes over the whole log in version order.
 
     The total order is cut into ranges of seq; each range sums alone and starts from the
-    total of those before it (a table of at most `slices` rows), so no task sees the whole log.
+    total of those before it (a table of about `slices` rows, four for each shuffle partition), so no task sees the whole log.
     """
+    slices = slices or 4 * int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deltas = live_byte_deltas(log)
     span = log.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(slices)))
@@ -116,11 +134,11 @@ def live_bytes(log: DataFrame, slices: int = 64) -> DataFrame:
             .select("seq", "key", "delta", (F.col("base") + F.sum("delta").over(inside)).alias("live_bytes")))
 
 
-def flush_points(log: DataFrame, limit: int, owners: int = 8) -> DataFrame:
+def flush_points(log: DataFrame, limit: int, owners: int) -> DataFrame:
     """Where each owner's write buffer would fill: size restarts at every flush, and an
     overwrite nets out only inside one buffer, so this is an ordered fold per owner.
 
-    Keys are dealt to `owners` buffers by hash; an owner's log is streamed in order in bounded
+    Keys are dealt to `owners` buffers, one for each node of the cluster, by hash; an owner's log is streamed in order in bounded
     Arrow batches and only the buffer in hand (at most `limit` bytes of keys) is kept.
     """
     import pandas as pd

@@ -1,7 +1,7 @@
 """Consistent-hash placement as a bucketed as-of join.
 
-A ring is nodes x 150 rows and is built from a list of nodes, so its size is known before it
-is broadcast; above MAX_BROADCAST_NODES the same join runs as a shuffle on the bucket.
+A ring is nodes x 150 rows. Its points are counted before it is broadcast; above those of MAX_BROADCAST_NODES
+the same join runs as a shuffle on the bucket.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,23 +20,33 @@ def vnodes(spark: SparkSession, nodes: list[str], per_node: int = VNODES_PER_NOD
             .select(ring_hash(F.concat_ws("-", "node_id", F.col("vnode").cast("string"))).alias("hash"), "node_id", "vnode"))
 
 
-def arcs(ring: DataFrame, copies: int = 1) -> DataFrame:
-    """Ring arcs (lo, hi] with the first `copies` distinct nodes met clockwise, wrap arc included."""
-    points = ring.groupBy().agg(F.array_sort(F.collect_list(F.struct("hash", "node_id"))).alias("p")).where(F.size("p") > 0)
-    placed = points.select("p", F.posexplode("p").alias("i", "v"))
-    walk = F.expr("transform(concat(slice(p, i + 1, size(p)), slice(p, 1, i)), x -> x.node_id)")
-    arc = placed.select(F.col("v.hash").alias("hi"), F.expr("CASE WHEN i = 0 THEN -1 ELSE p[i - 1].hash END").alias("lo"),
-                        F.slice(F.array_distinct(walk), 1, copies).alias("nodes"))
-    top = placed.where("i = size(p) - 1").select(F.lit(RING_SIZE - 1).alias("hi"), F.col("v.hash").alias("lo"),
-                                                 F.expr(f"slice(array_distinct(transform(p, x -> x.node_id)), 1, {copies})").alias("nodes"))
-    return arc.unionByName(top).where("hi > lo")
+def node_count(ring: DataFrame) -> DataFrame:
+    return ring.agg(F.count_distinct("node_id").alias("nodes"), F.count("*").alias("points"))
 
 
-def owners(keys: DataFrame, ring: DataFrame, copies: int = 1, nodes: int = 0) -> DataFrame:
+def arcs(ring: DataFrame, copies: int = 1, per_node: int = VNODES_PER_NODE) -> DataFrame:
+    """Ring arcs (lo, hi] with the first `copies` distinct nodes met clockwise, wrap arc included.
+
+    The ring follows itself once, a turn later. A node has `per_node` points at most, so `copies` nodes are met
+    within per_node * (copies - 1) + 1 of them: each arc looks that far ahead in one ordered pass.
+    """
+    points = ring.select("hash", "node_id", F.lit(0).alias("turn"))
+    twice = points.unionByName(points.select((F.col("hash") + RING_SIZE).alias("hash"), "node_id", F.lit(1).alias("turn")))
+    w = Window.orderBy("hash")
+    walk = F.collect_list("node_id").over(w.rowsBetween(0, per_node * (copies - 1)))
+    met = twice.select("hash", "turn", F.coalesce(F.lag("hash").over(w), F.lit(-1)).alias("lo"), F.slice(F.array_distinct(walk), 1, copies).alias("nodes"),
+                       F.row_number().over(Window.partitionBy("turn").orderBy("hash")).alias("n"))
+    first = met.where("turn = 0").select(F.col("hash").alias("hi"), "lo", "nodes")
+    top = met.where("turn = 1 AND n = 1").select(F.lit(RING_SIZE - 1).alias("hi"), "lo", "nodes")
+    return first.unionByName(top).where("hi > lo")
+
+
+def owners(keys: DataFrame, ring: DataFrame, copies: int = 1) -> DataFrame:
     """Keys with the arc's preference list; the first entry owns the key. An empty ring gives null."""
     bucketed = arcs(ring, copies).withColumn("bucket", F.explode(F.sequence(
         F.shiftright(F.col("lo") + 1, BUCKET_BITS), F.shiftright(F.col("hi"), BUCKET_BITS))))
-    if nodes <= MAX_BROADCAST_NODES:
+    most = MAX_BROADCAST_NODES * VNODES_PER_NODE
+    if ring.limit(most + 1).count() <= most:
         bucketed = F.broadcast(bucketed)
     hashed = keys.withColumn("h", ring_hash(F.col("key"))).withColumn("bucket", F.shiftright("h", BUCKET_BITS))
     return (hashed.join(bucketed, (hashed.bucket == bucketed.bucket) & (hashed.h > bucketed.lo) & (hashed.h <= bucketed.hi), "left")

@@ -14,6 +14,11 @@ def watch_changes(log: DataFrame, interval: str = "1 hour", reemit_after_delete:
     ticks = (log.groupBy("key", F.window("ts", interval).alias("w"))
              .agg(F.max_by(F.struct("op", "value"), F.struct("epoch", "seq")).alias("e"))
              .select("key", F.col("w.end").alias("tick"), "e.op", "e.value"))
+    return changes(ticks, reemit_after_delete)
+
+
+def changes(ticks: DataFrame, reemit_after_delete: bool = False) -> DataFrame:
+    """What is printed of (key, tick, op, value), the last entry of each key in each interval."""
     before = Window.partitionBy("key").orderBy("tick")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
     put = F.col("op") == "put"

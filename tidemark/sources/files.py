@@ -81,6 +81,69 @@ def read_sorted_files(spark: SparkSession, folder: str, glob: str = "*.sst") ->
     return files.mapInArrow(entries, schemas.SORTED_ENTRY)
 
 
+#: Bytes of keys and values in a sorted file, about.
+FILE_BYTES = 32 << 20
+
+
+def sorted_files(entries: DataFrame, file_bytes: int = FILE_BYTES, target: int = codec.BLOCK_TARGET_BYTES) -> DataFrame:
+    """(first_key, last_key, entries, content): indexed files of entries (key, value, tombstone, seq), which has one row a key.
+
+    Keys are dealt to tasks by range and sorted there; a task closes a file whenever it is full, so that it holds one at a time.
+    """
+    from tidemark.operators.bloom import bloom_bits, marshal
+
+    def build(batches):
+        held, size = [], 0
+
+        def close():
+            keys = [k.encode() for k, *_ in held]
+            content = codec.encode_sorted_file(held, marshal(keys, bloom_bits(len(keys))), target)
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([held[-1][0]]), pa.array([len(held)], pa.int64()), pa.array([content], pa.binary())],
+                                              names=["first_key", "last_key", "entries", "content"])
+
+        for batch in batches:
+            for key, value, tombstone, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((key, value or b"", tombstone, seq))
+                size += len(key) + len(value or b"")
+                if size >= file_bytes:
+                    yield close()
+                    held, size = [], 0
+        if held:
+            yield close()
+
+    rows = entries.select("key", F.col("value").cast("binary").alias("value"), "tombstone", "seq")
+    return (rows.repartitionByRange("key").sortWithinPartitions("key")
+            .mapInArrow(build, "first_key string, last_key string, entries bigint, content binary"))
+
+
+def blocks_of(sorted_file_rows: DataFrame) -> DataFrame:
+    """(first_key, block, offset, length, block_key) from the index of each file; what a reader fetches a block by."""
+
+    def index(batches):
+        for batch in batches:
+            for first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = codec.open_sorted_file(data)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([first] * len(found)), pa.array(range(len(found)), pa.int64()), pa.array([o for _, o, _ in found], pa.int64()),
+                                                  pa.array([n for _, _, n in found], pa.int64()), pa.array([k for k, _, _ in found], pa.string())],
+                                                 names=["first_key", "block", "offset", "length", "block_key"])
+
+    return sorted_file_rows.select("first_key", "content").mapInArrow(index, "first_key string, block bigint, offset bigint, length bigint, block_key string")
+
+
+def entries_of(sorted_file_rows: DataFrame) -> DataFrame:
+    """Entries of every block, each cut out of its file by the index and decoded by itself."""
+    cut = (sorted_file_rows.join(blocks_of(sorted_file_rows), "first_key")
+           .select(F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("data")))
+
+    def decode(batches):
+        for batch in batches:
+            rows = [e for data in batch.column(0).to_pylist() for e in codec.decode_block(data)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.bool_(), pa.int64()))],
+                                             names=["key", "value", "tombstone", "seq"])
+
+    return cut.mapInArrow(decode, "key string, value binary, tombstone boolean, seq bigint")
+
+
 class LogSource(DataSource):
     """spark.read.format("mutation_log").option("path", folder): one partition a log file.
 

@@ -15,12 +15,15 @@ def stream_latest(stream: DataFrame) -> DataFrame:
             .select("key", "e.*"))
 
 
-def sink_generations(table: Generations):
-    """foreachBatch sink: each micro-batch's newest entry per key becomes one generation."""
+def sink_generations(table: Generations, name: str = "stream"):
+    """foreachBatch sink: each micro-batch's newest entry per key becomes one generation, once however often the batch is tried.
+
+    `name` tells the queries apart that write to one table.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            table.append(latest(batch).select("epoch", "seq", "key", "op", "value"))
+            table.append(latest(batch).select("epoch", "seq", "key", "op", "value"), tag=f"{name}:{batch_id}")
 
     return write
 
@@ -52,6 +55,16 @@ class LatestProcessor(StatefulProcessor):
         pass
 
 
+def watch_stream(stream: DataFrame, interval: str = "1 hour", late: str = "0 seconds") -> DataFrame:
+    """Last entry of each key in each interval of a stream, told once the watermark has passed the interval: the ticks of a watcher.
+
+    `watch.changes` of what it has told gives the changes that a poller would print.
+    """
+    return (stream.withWatermark("ts", late).groupBy("key", F.window("ts", interval).alias("w"))
+            .agg(F.max_by(F.struct("op", "value"), F.struct("epoch", "seq")).alias("e"))
+            .select("key", F.col("w.end").alias("tick"), "e.op", "e.value"))
+
+
 def stream_updates(stream: DataFrame) -> DataFrame:
     """Change feed of the newest version per key (needs the RocksDB state store)."""
     return stream.groupBy("key").transformWithStateInPandas(

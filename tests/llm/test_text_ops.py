@@ -6,6 +6,8 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import text as tx
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.token_counts import token_counts
@@ -79,16 +81,32 @@ def test_decontaminate_compares_words(monkeypatch):
     assert dc.scan(texts, win)[2].tolist() == [[0, 0], [0, 2], [0, 3], [3, 3]]
 
 
-def test_decontaminate_brute(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_decontaminate_brute(spark, monkeypatch, limit):
+    """Both ways, the items broadcast and joined."""
     import tidemark.llm.decontaminate as dc
 
-    monkeypatch.setattr(dc, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", limit)
     r = random.Random(7)
     word = lambda: r.choice(["a", "b", "c", "dd", "É", "x1"])
     items = [(i, " ".join(word() for _ in range(r.choice([1, 3, 12, 14])) )) for i in range(12)] + [(None, "a b c"), (3, None), (4, ""), (4, "b b")]
     texts = ODD + [", ".join(word() for _ in range(60)) + " " + (r.choice(items)[1] or "").upper() for _ in range(40)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items) for x in decontaminate(docs(spark, texts), bench).collect()}
-    assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    wide = docs(spark, texts).withColumns({c: F.lit(1) for c in ("n_words", "spans", "items", "doc", "k1", "word", "window")})
+    rows = decontaminate(wide.unionByName(wide), bench).collect()
+    assert len(rows) == 2 * len(texts)
+    for x in rows:
+        assert (x.n_words, x.n_hit, x.n_items) == brute_hits(texts[x.doc_id], items)
+    assert len({(x.doc_id, x.items_sha256) for x in rows}) == len(texts)
     none = decontaminate(docs(spark, texts), bench.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == len(texts)
+
+
+def test_decontaminate_ways_agree_at_scale(spark, monkeypatch):
+    """The two ways on the documents and items of sf0.001, digests of item ids included."""
+    import tidemark.llm.decontaminate as dc
+
+    d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontaminate(d, b).collect()))
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 0)
+    assert sorted(map(tuple, decontaminate(d, b).collect())) == want and any(r[5] for r in want)

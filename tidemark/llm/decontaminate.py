@@ -7,10 +7,14 @@ words are looked up. A hit fixes where the window would have to start; it is dro
 before the text or if the text ends too soon (positional and length bounds), and is then verified
 over the whole window: by its hash, and what passes by the bytes of its words.
 
-Items go in blocks of bounded size, each broadcast once, against all documents; documents are never
-shuffled, so hot sources or many copies cannot meet in one task. Null texts have no words. Null
-item ids mark hits but are not listed. Repeated rows each get their own result. Extra columns of
-either table are ignored.
+Items of up to BLOCK_BYTES of text are broadcast, and documents are not shuffled: hot sources or many copies cannot meet in one task. Larger
+benchmarks are joined by shuffles: distinct windows and their items are tables, words are counted in one pass over the documents, and only places of
+prefix words leave a document (sieved by a bitmap of bounded size, which only saves work), with the words around them; they are joined on the prefix word, whose documents adaptive
+skew handling may split, and verified there. Both ways give the same rows.
+
+Null texts have no words. Null item ids mark hits but are not listed. Repeated rows each get their own result, repeated items count once, and windows that tie in
+rarity go by their words' hashes. Very long texts are worked through in pieces. An empty table of documents gives an empty result, one of items no hits. All other columns of documents are
+carried in the struct `doc`; those of items are ignored.
 """
 
 import hashlib
@@ -21,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.ngram_join import WANTED_BITS, wanted_bitmap
+from tidemark.llm.session import materialise
 from tidemark.llm.text import LOWER, NOT_ALNUM, Words, column, gram, slices
 
-#: Bytes of item text in a broadcast block.
+#: Bytes of item text that are broadcast at most.
 BLOCK_BYTES = 4 << 20
 
 
@@ -172,39 +178,107 @@ def covered(spans: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> np.nda
     return total[hi] - total[lo]
 
 
-def item_blocks(items: DataFrame) -> list:
-    """Bounded blocks of (item_id, text) rows, one at a time."""
-    rows = items.select("item_id", "text").where("text IS NOT NULL")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
-    for b in range(n):
-        yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+def words_of(w: Words, data: np.ndarray, first: int, last: int) -> list[bytes]:
+    return [LOWER[data[s:e]].tobytes() for s, e in zip(w.start[first:last].tolist(), w.end[first:last].tolist(), strict=True)]
+
+
+def window_rows(items: DataFrame, width: int) -> DataFrame:
+    """(item, window, n, words): every window of every item, its words joined by spaces, their number and their hashes."""
+
+    def cut(batches):
+        for batch in slices(batches, limit=1 << 18):
+            data, offsets = column(batch, "text")
+            w = Words(data, offsets, NOT_ALNUM)
+            at = [(i, k) for i, n in enumerate(w.count.tolist()) if n for k in range(max(n - width, 0) + 1)]
+            all_words = words_of(w, data, 0, len(w.start))
+            lo = w.lo.tolist()
+            ends = [(lo[i] + k, lo[i] + k + min(int(w.count[i]), width)) for i, k in at]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item").take(pa.array([i for i, _ in at], pa.int64())), pa.array([b" ".join(all_words[a:b]) for a, b in ends], pa.binary()).view(pa.string()),
+                 pa.array([b - a for a, b in ends], pa.int32()), pa.array([w.hash[a:b].view(np.int64) for a, b in ends], pa.list_(pa.int64()))],
+                names=["item", "window", "n", "words"])
+
+    rows = items.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    return rows.mapInArrow(cut, "item string, window string, n int, words array<bigint>")
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): occurrences of every word's hash in the documents, combined slice by slice."""
+
+    def count(batches):
+        for batch in slices(batches):
+            keys, n = np.unique(Words(*column(batch, "text"), NOT_ALNUM).hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    return docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def joined_items(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """What broadcast_items gives, by shuffles on prefix words: nothing of the items need fit anywhere."""
+    rows = materialise(window_rows(items, width), "windows")
+    distinct = rows.groupBy("window").agg(F.first("n").alias("size"), F.first("words").alias("words"))
+    counts = corpus_counts(docs).join(rows.select(F.explode("words").alias("word")).distinct(), "word", "left_semi")
+    placed = distinct.select("window", "size", F.posexplode("words").alias("offset", "word")).join(counts, "word", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("p")
+    prefix = materialise(placed.groupBy("window", "size").agg(rarest).select("window", "size", "p.word", "p.offset"), "prefixes")
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_bitmap(prefix.select(F.col("word").alias("node"))))
+
+    def places(batches):
+        bits = shared.value
+        for batch in slices(batches):
+            data, offsets = column(batch, "text")
+            w = Words(data, offsets, NOT_ALNUM)
+            at = np.flatnonzero((bits[w.hash >> np.uint64(64 - WANTED_BITS)] >> (w.hash & np.uint64(63))) & np.uint64(1) == 1)
+            doc = np.searchsorted(w.hi, at, "right")
+            first, last = np.maximum(at - width + 1, w.lo[doc]), np.minimum(at + width, w.hi[doc])
+            for lo in range(0, len(at), 4096):
+                to = slice(lo, lo + 4096)
+                near = [[x.decode() for x in words_of(w, data, a, b)] for a, b in zip(first[to].tolist(), last[to].tolist(), strict=True)]
+                of = pa.array(doc[to])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k1").take(of), batch.column("k2").take(of), pa.array(w.hash[at[to]].view(np.int64)), pa.array(at[to] - w.lo[doc[to]]),
+                     pa.array((at - first)[to], pa.int32()), pa.array(near, pa.list_(pa.string()))], names=["k1", "k2", "word", "at", "left", "near"])
+
+    keyed = docs.withColumns({"k1": F.xxhash64(F.coalesce("text", F.lit(""))), "k2": F.xxhash64(F.lit(7), F.coalesce("text", F.lit("")))})
+    found = keyed.select("k1", "k2", "text").mapInArrow(places, "k1 bigint, k2 bigint, word bigint, at bigint, left int, near array<string>").join(prefix, "word")
+    inside = (F.col("left") >= F.col("offset")) & (F.size("near") - F.col("left") >= F.col("size") - F.col("offset"))
+    same = F.expr("array_join(slice(near, greatest(left - offset, 0) + 1, size), ' ') = window")
+    hits = materialise(found.where(inside & same).select("k1", "k2", "window", (F.col("at") - F.col("offset")).alias("start"), "size").distinct(), "hits")
+    spans = hits.groupBy("k1", "k2").agg(F.flatten(F.collect_set(F.array("start", F.col("start") + F.col("size")))).alias("spans"))
+    named = hits.select("k1", "k2", "window").distinct().join(rows.where("item IS NOT NULL").select("window", "item").distinct(), "window")
+    named = named.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    doc = F.struct(*[c for c in docs.columns if c != "text"]).alias("doc")
+    return (keyed.select(doc, "text", "k1", "k2").join(spans, ["k1", "k2"], "left").join(named, ["k1", "k2"], "left").select("doc", "text", "spans", "items"))
+
+
+def broadcast_items(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(doc, text, spans, items): hit words of each document, from and to in turn, and the ids of its items; the items are broadcast."""
+    block = [(r[0], r[1]) for r in items.select("item_id", "text").where("text IS NOT NULL").collect()]
+    win = Windows(block, width)
+    win.set_rarity(word_counts(docs, win.vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(win)
+
+    def hits(batches):
+        win = shared.value
+        for batch in slices(batches):
+            w, spans, pairs = scan(batch, win)
+            doc = np.searchsorted(w.lo, spans[:, 0], "right") - 1
+            span_lists, item_lists = [None] * len(batch), [None] * len(batch)
+            for d in np.unique(doc):
+                span_lists[d] = (spans[doc == d] - w.lo[d]).ravel().tolist()
+                item_lists[d] = sorted({str(win.ids[i]) for i in pairs[pairs[:, 0] == d, 1] if win.ids[i] is not None})
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.array(span_lists, pa.list_(pa.int64())),
+                                              pa.array(item_lists, pa.list_(pa.string()))], names=["doc", "text", "spans", "items"])
+
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
+    told = [T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+    return rows.mapInArrow(hits, T.StructType([*rows.schema.fields, *told]))
 
 
 def find_items(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """(doc, text, n_words, n_hit, n_items, items_sha256, contaminated); doc holds the other columns of docs."""
-    sc = docs.sparkSession.sparkContext
-    found = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for block in item_blocks(items):
-        win = Windows(block, width)
-        win.set_rarity(word_counts(docs, win.vocabulary))
-        shared = sc.broadcast(win)
-
-        def hits(batches, shared=shared):
-            win = shared.value
-            for batch in slices(batches):
-                w, spans, pairs = scan(batch, win)
-                doc = np.searchsorted(w.lo, spans[:, 0], "right") - 1
-                span_lists, item_lists = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                for d in np.unique(doc):
-                    mine = (spans[doc == d] - w.lo[d]).ravel().tolist()
-                    span_lists[d] = (span_lists[d] or []) + mine
-                    ids = [win.ids[i] for i in pairs[pairs[:, 0] == d, 1]]
-                    item_lists[d] = sorted({*(item_lists[d] or []), *(str(i) for i in ids if i is not None)})
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.array(span_lists, pa.list_(pa.int64())),
-                                                  pa.array(item_lists, pa.list_(pa.string()))], names=["doc", "text", "spans", "items"])
-
-        found = found.mapInArrow(hits, found.schema)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = (broadcast_items if size <= BLOCK_BYTES else joined_items)(docs, items, width)
 
     def report(batches):
         for batch in slices(batches):

@@ -65,3 +65,28 @@ def test_run(spark):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_prediction_brute(spark):
+    """The query's languages and scores, window by window through the plain network."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = li.train(d)
+    texts = {r.doc_id: (r.text or "").encode() for r in d.collect()}
+    for r in li.language_id(d).collect():
+        t = texts[r.doc_id]
+        parts = [t[i:i + li.WINDOW] for i in range(0, len(t), li.WINDOW)]
+        x = np.stack([np.frombuffer(p.ljust(li.WINDOW, b"\0"), np.uint8) for p in parts])
+        p = np.average(li.softmax(net.pooled(x)[0] @ net.out + net.out_bias), 0, [len(q) for q in parts])
+        assert r.lang_pred == net.classes[p.argmax()] and abs(r.score - p.max()) < 1e-4
+
+
+def test_mixing_stage_brute(spark):
+    from collections import Counter
+
+    from tests.llm.test_native_ops import brute_pfair
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("slot", F.lit("x"))
+    rows = cp.mix(spark, d, SF).collect()
+    n = Counter(r.source for r in d.collect())
+    want = brute_pfair({s: k**0.5 for s, k in n.items()}, {s: -(-k // 16) for s, k in n.items()})
+    assert len(rows) == d.count() and all(r.slot == want[r.source, r.src_rank // 16] for r in rows)

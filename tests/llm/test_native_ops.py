@@ -258,3 +258,22 @@ def test_mix_keeps_rows_and_ranks(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert len({x.position for x in got}) == len(got)
     assert mix_sources(df.limit(0)).count() == 0
+
+
+def test_kept_by_the_learned_rules_brute(spark):
+    """The query's verdict, from statistics taken and rules applied in Python."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rules = qr.learn(qr.labelled_rows(d, labels), list(qr.FEATURES))
+    assert rules
+    texts = {r.doc_id: r.text for r in d.collect()}
+    dropped = 0
+    for r in qr.quality_rules(d, labels).collect():
+        t = texts[r.doc_id] or ""
+        n, chars, symbols, dup, rep = brute_stats(t)
+        w, lines = ws(t), sum(bool(ws(x)) for x in t.split("\n"))
+        x = {"symbol_share": symbols / max(chars, 1), "dup_line_share": dup / max(lines, 1), "repeat_share": rep / max(n, 1), "mean_word": chars / max(n, 1),
+             "distinct_share": len(set(w)) / max(n, 1), "words_a_line": n / max(lines, 1), "log_words": math.log(n + 1), "stop_share": sum(y.count(".") + y.count(",") for y in w) / max(n, 1)}
+        hit = any(all((x[l.feature] >= l.cut) == l.at_least for l in rule) for rule in rules)
+        assert r.kept == (not (n < 20 or 100 * rep > 30 * n) and not hit), r
+        dropped += hit
+    assert dropped

@@ -6,8 +6,8 @@ Adam, on at most about MAX_ROWS labelled documents, chosen by a hash of doc_id,
 Whole texts are predicted: all consecutive windows are scored in batches, the last one padded, and their
 probabilities are averaged by length. In prediction, taps are merged to tables over byte pairs.
 
-A null text, one without a letter, and every text when nothing is labelled are `und` with score 0. Repeated rows each get
-a row. An empty table gives an empty result. Neither lang nor source nor doc_id is an input of a prediction.
+A null text, one without a letter, and every text when nothing is labelled are `und` with score 0. Languages that tie are told by name, the
+first. Repeated rows each get a row. Very long texts are scored in all their windows, 256 at a time. An empty table gives an empty result. Other columns are carried in the struct `doc`. Neither lang nor source nor doc_id is an input of a prediction.
 """
 
 import numpy as np
@@ -148,7 +148,9 @@ def train(docs: DataFrame, remainder: int = 2, modulus: int = 4) -> Network | No
     share = min(1.0, MAX_ROWS / n)
     place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
     picks = fit.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    rows = picks.select("doc_id", "lang", *[F.substring("text", place(k), F.lit(WINDOW)).alias(f"w{k}") for k in range(WINDOWS_A_ROW)]).limit(2 * MAX_ROWS).collect()
+    shown = [F.substring("text", place(k), F.lit(WINDOW)).alias(f"w{k}") for k in range(WINDOWS_A_ROW)]
+    # Twice the share that is needed; where many rows have one id, the first by hash.
+    rows = picks.select("doc_id", "lang", *shown).orderBy(F.xxhash64("doc_id", "lang", "w0", "w1")).limit(2 * MAX_ROWS).collect()
     rows.sort(key=lambda r: (str(r[0]), r[1], r[2]))
     classes = sorted({r.lang for r in rows})
     if not classes:

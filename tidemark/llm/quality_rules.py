@@ -9,8 +9,9 @@ rules for the rarer (low) class grow by information gain on two thirds of the ro
 other third, and are kept while they are precise there; what a rule covers is then taken away. The
 rules become one ordered CASE expression.
 
-A null text has no words. Without labels there are no rules. Repeated labels of a doc_id count once (the
-greatest). Repeated rows each get a row. Extra columns are ignored.
+A null or empty text has no words. Without labels there are no rules. Repeated labels of a doc_id count once (the
+greatest). Literals of equal gain go in the order of FEATURES and cuts. Repeated rows each get a row. Very long texts are counted whole. An empty table
+gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 import math
@@ -158,7 +159,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     """At most `most` labelled feature rows, by hash of doc_id."""
     picks = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    rows = features(statistics(docs.join(F.broadcast(picks), "doc_id"), "quality"))
+    rows = features(statistics(docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id"), "quality"))
     kept = rows.select(*FEATURES, F.col("quality").cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return [tuple(r) for r in kept.collect()]
 

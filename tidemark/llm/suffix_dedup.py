@@ -11,8 +11,10 @@ left neighbours differ are compared, the others follow from the position before)
 reaches `length` are repeated. An anchor with more contexts than a piece holds is spread over several pieces, whose sorted
 windows are merged by binary search. Contexts are told apart by 64-bit hashes of their windows.
 
-Matches never cross texts. A null text counts as empty: n_bytes 0. Repeated rows are occurrences of each other. Hot
-passages cost one context however often they occur, after counting within each task. Extra columns are ignored.
+Matches never cross texts. A null or empty text, or one shorter than `length`, has nothing to remove. Repeated rows are occurrences of each other, and equal strings are alike
+whichever comes first, so there are no ties. Every occurrence of a run is dealt to its anchor's shard, 32 bytes each, so that the shard of a very common passage takes
+longer than others; of its texts one of each context is fetched. Very long texts are worked through in overlapping pieces. An empty table gives an empty result. Other columns
+are carried in the struct `doc`.
 """
 
 import hashlib

@@ -6,7 +6,8 @@ are split by the library's own normaliser and pre-tokenizer. Token ids of a text
 
 The join is by hash table in the task, with no shuffle: a vocabulary kept across a worker's batches
 and emptied at CACHE entries, so memory is bounded and a hot text costs one task no more than another.
-A null text counts as empty. Repeated rows each get a row. Extra columns are ignored.
+A null text counts as empty, with no tokens. Repeated rows each get a row; there is nothing to tie. Very long texts are counted whole, and pre-tokens over KEEP_BYTES are not
+kept. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 import os

@@ -25,7 +25,10 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df, cores = spark.read.parquet(f"{sf}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)  # one small file is one task
+    return df
 
 
 @query()

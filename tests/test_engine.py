@@ -210,6 +210,25 @@ def test_watch_stream_ticks(spark, tmp_path):
     assert got and {r for r in want if r[1] < last} <= got <= want
 
 
+def test_command_line(spark, tmp_path):
+    root, kept = str(tmp_path / "t"), tmp_path / "settings.json"
+
+    def run(*args, answer="n"):
+        out = io.StringIO()
+        code = cli.main(list(args), spark, out, lambda _: answer, kept)
+        return code, out.getvalue()
+
+    assert run("config", "set", "root", root)[0] == 0 and f"root\t{root}\n" in run("config", "show")[1]
+    assert run("config", "set", "nonsense", "1")[0] == 4
+    for k in ("b", "a", "c"):
+        assert run("put", k, k * 2)[0] == 0
+    assert run("scan", "--start", "b") == (0, "b\tbb\nc\tcc\n") and run("--json", "scan", "--prefix", "a") == (0, '{"key": "a", "value": "aa"}\n')
+    assert run("delete", "a") == (0, "Aborted\n") and run("get", "a") == (0, "aa\n")
+    assert run("delete", "a", answer="y") == (0, 'Deleted "a"\n') and run("get", "a")[0] == 2 and run("delete", "a", "--force")[0] == 2
+    lines = run("status", "--all", str(tmp_path / "none"), root)[1].splitlines()
+    assert "[unreachable]" in lines[0] and lines[1].split("\t")[:2] == [root, "ok"] and lines[1].endswith("\t2")
+
+
 def test_config():
     with pytest.raises(InvalidInput, match="HTTP_ADDR, GRPC_ADDR, DATA_DIR"):
         NodeConfig.from_env({"NODE_ID": "n"})

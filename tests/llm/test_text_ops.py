@@ -40,9 +40,13 @@ def test_words(monkeypatch, sep, pattern):
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_token_counts_equal_library(spark, file):
+@pytest.mark.parametrize("frequent", [0, 5, 1 << 17])
+def test_token_counts_equal_library(spark, monkeypatch, file, frequent):
+    """With all, few and no pre-tokens joined by shuffle."""
+    import tidemark.llm.token_counts as tc
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tc, "FREQUENT", frequent)
     t = Tokenizer.from_file(public_tokenizers.path(file))
     r = random.Random(1)
     texts = ODD + ["".join(r.choice(["the", " ", "'s", "é", "123", "\n", "<|endoftext|>", "?!", "ing", " ", "\x1c"]) for _ in range(60)) for _ in range(60)]
@@ -52,6 +56,22 @@ def test_token_counts_equal_library(spark, file):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((s or "").encode()), n > 20)
 
 
+def test_token_counts_counts_each_piece_once(spark):
+    from tidemark.llm.token_counts import distinct_pieces
+
+    texts = ["a bb a", None, "bb " + "c" * 300, "", "a"]
+    got = sorted(map(tuple, distinct_pieces(docs(spark, texts), public_tokenizers.path("word_bpe_49k.json")).select("piece", "freq").collect()))
+    assert got == [(b"a", 3), (b"bb", 2)]
+
+
+def test_token_counts_repeated_rows(spark):
+    """Rows of one id and text each get their whole count."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    d = docs(spark, ["zyxq vut zyxq", "of the"])
+    one = {x.doc_id: x.n_tokens for x in token_counts(d, path).collect()}
+    assert sorted((x.doc_id, x.n_tokens) for x in token_counts(d.unionByName(d), path).collect()) == sorted(list(one.items()) * 2)
+
+
 def test_token_counts_empty_table(spark):
     assert token_counts(docs(spark, [""]).limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 

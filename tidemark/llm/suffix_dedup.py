@@ -9,11 +9,11 @@ their windows. One text of each different context of an anchor is then fetched,
 array of the piece is built by Larsson-Sadakane refinement, common prefixes by Kasai's rule (only positions whose
 left neighbours differ are compared, the others follow from the position before), and windows whose common prefix
 reaches `length` are repeated. An anchor with more contexts than a piece holds is spread over several pieces, whose sorted
-windows are merged by binary search. Contexts are told apart by 64-bit hashes of their windows.
+windows are merged by binary search. Contexts of one anchor are told apart by 64-bit hashes of their windows.
 
 Matches never cross texts. A null or empty text, or one shorter than `length`, has nothing to remove. Repeated rows are occurrences of each other, and equal strings are alike
-whichever comes first, so there are no ties. Every occurrence of a run is dealt to its anchor's shard, 32 bytes each, so that the shard of a very common passage takes
-longer than others; of its texts one of each context is fetched. Very long texts are worked through in overlapping pieces. An empty table gives an empty result. Other columns
+whichever comes first, so there are no ties. Occurrences of one context are found before the shuffle, among the FLUSH runs that a task holds: one of them goes to the anchor's
+shard, and the others are dealt evenly by text, so that the shard of a very common passage gets no more than one of every task's hold. Of its texts one of each context is fetched. Very long texts are worked through in overlapping pieces. An empty table gives an empty result. Other columns
 are carried in the struct `doc`.
 """
 
@@ -36,6 +36,8 @@ PIECE = 1 << 20
 FLUSH = 1 << 18
 #: Bytes of text whose runs are found at once; longer texts are taken in chunks.
 CHUNK = 1 << 20
+#: Mark of a place whose context was found twice or more before it was sent to its shard.
+FULL = 1
 
 
 def _powers(n: int) -> int:
@@ -225,12 +227,19 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
 
         def flush():
             node, place, key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(key)
+            order = np.lexsort((ctx, key))
             node, place, key, ctx = node[order], place[order], key[order], ctx[order]
-            k = np.diff(deal(key, n_parts))
+            head = np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))
+            at = np.flatnonzero(head)
+            place[at[np.diff(np.append(at, len(key))) > 1]] |= FULL
+            known, known_place = node[~head], place[~head]
+            order = np.argsort(known.view(np.uint64))
+            known, known_place = known[order], known_place[order]
+            k, k_known = np.diff(deal(key[at], n_parts)), np.diff(deal(known.view(np.uint64), n_parts))
             return pa.RecordBatch.from_arrays(
-                [pa.array(range(n_parts), pa.int32()), *(lists(x.view(np.int64), k, pa.int64()) for x in (node, place, key, ctx))],
-                names=["part", "nodes", "places", "keys", "contexts"])
+                [pa.array(range(n_parts), pa.int32()), *(lists(x[at].view(np.int64), k, pa.int64()) for x in (node, place, key, ctx)),
+                 *(lists(x, k_known, pa.int64()) for x in (known, known_place))],
+                names=["part", "nodes", "places", "keys", "contexts", "known", "known_places"])
 
         for batch in slices(batches, limit=CHUNK):
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
@@ -238,9 +247,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             whole = [(offsets, 0)] if len(batch) > 1 else [(np.array([c, min(c + CHUNK, offsets[1])]), c - offsets[0])
                                                            for c in range(int(offsets[0]), int(offsets[1]) - length + 1, CHUNK - length + 1)]
             for ends, shift in whole:
-                text, s, e, off, key, ctx = runs(data, ends, length)
+                text, s, e, _, key, ctx = runs(data, ends, length)
                 s, e = s + shift, e + shift
-                held.append((nodes[text], (s << 24) | ((e - s) << 12) | off, key, ctx))
+                held.append((nodes[text], (s << 24) | ((e - s) << 12), key, ctx))
                 size += len(text)
                 if size > FLUSH:
                     yield flush()
@@ -248,9 +257,21 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
+    def by_node(node, place, key):
+        order = np.argsort(node, kind="stable")
+        node, place, key = node[order], place[order], key[order]
+        heads = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else order
+        ends = np.append(heads[1:], len(node))
+        for at in range(0, len(heads), 8192):
+            lo, hi = heads[at : at + 8192], ends[at : at + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(node[lo]), *(lists(x[lo[0] : hi[-1]], hi - lo, pa.int64()) for x in (place, key))],
+                                             names=["node", "places", "keys"])
+
     def judge(batches):
         cols = [[np.zeros(0, np.int64)] for _ in range(4)]
         for batch in batches:
+            known, place = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("known", "known_places"))
+            yield from by_node(known, (place << 2) | 1, np.zeros_like(known))
             for c, name in zip(cols, ("nodes", "places", "keys", "contexts"), strict=True):
                 c.append(batch.column(name).flatten().to_numpy(zero_copy_only=False))
         node, place, key, ctx = (np.concatenate(c) for c in cols)
@@ -261,26 +282,17 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         k_head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         c_head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])))
         c_size = np.diff(np.append(c_head, len(key)))
-        full = np.repeat(c_size > 1, c_size)
+        full = np.repeat((c_size > 1) | (np.bitwise_or.reduceat(place, c_head) & FULL > 0), c_size)
         contexts_of_key = np.add.reduceat(np.isin(np.arange(len(key)), c_head).astype(np.int64), k_head)
         several = np.repeat(contexts_of_key > 1, np.diff(np.append(k_head, len(key))))
         first = np.zeros(len(key), bool)
         first[c_head] = True
         ask = several & first
         rows = np.flatnonzero(full | ask)
-        rows = rows[np.argsort(node[rows], kind="stable")]
-        heads = np.flatnonzero(np.append(True, node[rows][1:] != node[rows][:-1])) if len(rows) else rows
-        size = np.diff(np.append(heads, len(rows)))
-        state = full[rows].astype(np.int64) + 2 * ask[rows]
-        for at in range(0, len(heads), 8192):
-            hs = heads[at : at + 8192]
-            sel = rows[hs[0] : hs[-1] + size[at + len(hs) - 1]]
-            st = state[hs[0] : hs[-1] + size[at + len(hs) - 1]]
-            k = size[at : at + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array(node[rows[hs]]), lists((place[sel] << 2) | st, k, pa.int64()), lists(key[sel], k, pa.int64())],
-                                             names=["node", "places", "keys"])
+        yield from by_node(node[rows], ((place[rows] & ~FULL) << 2) | full[rows] | 2 * ask[rows], key[rows])
 
-    found = materialise(keyed.mapInArrow(post, "part int, nodes array<bigint>, places array<bigint>, keys array<bigint>, contexts array<bigint>")
+    found = materialise(keyed.mapInArrow(post, "part int, nodes array<bigint>, places array<bigint>, keys array<bigint>, contexts array<bigint>, "
+                                          "known array<bigint>, known_places array<bigint>")
                         .repartitionById(n_parts, F.col("part")).mapInArrow(judge, "node bigint, places array<bigint>, keys array<bigint>"), "runs")
     asked = found.where("exists(places, p -> (p & 2) = 2)")
     bitmap = docs.sparkSession.sparkContext.broadcast(wanted_bitmap(asked.select("node")))

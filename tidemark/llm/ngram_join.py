@@ -435,11 +435,12 @@ def block_pairs(opened: DataFrame, payload: DataFrame, width: int, percent: int,
 
 
 def open_lists(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the lists that still hold several components, with their labels."""
+    """Members of the lists that still hold several components, with their labels; from two written tables, so that a long list is not one task's."""
     members = groups.where(F.size("members") > 2).select("gid", F.explode("members").alias("member"))
     labelled = members.join(labels.withColumnRenamed("node", "member"), "member", "left").select("gid", "member", F.coalesce("root", "member").alias("label"))
+    labelled = materialise(labelled, "members")
     still = labelled.groupBy("gid").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return labelled.join(still.select("gid", "size"), "gid")
+    return labelled.join(materialise(still.select("gid", "size"), "still"), "gid")
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -4,9 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.test_text_ops import ODD, docs
 from tidemark.llm import lm_scoring as lm
+from tidemark.llm.registry import QUERIES
+from tidemark.llm.text import Words, column
 
 SF = "/root/testdata/sf0.001"
 
@@ -203,3 +206,91 @@ def test_score_reference(spark, monkeypatch):
         of = np.log10(kinds.prior) + (by[[place[w] for w in words(t)]].sum(0) if words(t) else 0)
         want = np.logaddexp.reduce(of * np.log(10)) / np.log(10) + refined.end(spelled[-1])
         assert abs(rows[i] - want) < 0.01 + 2e-3 * abs(want), (i, rows[i], want)
+
+
+def stream(text):
+    """(tail, nearest byte first, word) of each word of a text and of its end, with stops before it."""
+    out, before = [], b"    "
+    for w in [*words(text), b""]:
+        out.append((before[-2:-5:-1], w))
+        before += w + b" "
+    return out
+
+
+def test_borders_plainly():
+    texts = [t or "" for t in ODD] + ["Ab c déf  g", "", "x", "\nhello a b\tworld "]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    data, offsets = column(batch, "text")
+    keys = lm.borders(Words(data, offsets), data)
+    both = [x for t in texts for x in stream(t)]
+    both = [x for x in both if x[1]] + [x for x in both if not x[1]]
+    assert keys.tolist() == [int.from_bytes(t[:1] + (w + b"  " + b" ")[:3] + t[1:], "big") for t, w in both]
+    spelled, starts, tails = lm.spell_borders(keys)
+    assert tails.tolist() == [list(t) for t, _ in both]
+    assert spelled.tobytes() == b"".join((w + b" ")[:3] for _, w in both) and starts.tolist() == np.cumsum([0] + [min(3, len(w) + 1) for _, w in both])[:-1].tolist()
+
+
+def test_contexts_reach_across_words(spark):
+    """What follows a word is told by it: the same words in another order are less likely, and more so than by words alone."""
+    r = np.random.default_rng(8)
+    follow = {"alpha": "qzzx", "gamma": "vjjk", "sigma": "wyyf"}
+    pairs = lambda a: " ".join(f"{x} {follow[x]}" for x in a)
+    texts = [pairs(r.choice(list(follow), 40)) for _ in range(80)]
+    held = [i for i in range(80) if zlib.crc32(str(i).encode()) % 7 == 2]
+    other = dict(zip(follow, [*follow.values()][1:] + [*follow.values()][:1], strict=True))
+    for i in held[::2]:
+        texts[i] = " ".join(x if x in follow else other[texts[i].split()[k - 1]] for k, x in enumerate(texts[i].split()))
+    score = {a: {x.doc_id: x.bits_per_byte for x in lm.lm_scoring(docs(spark, texts), across=a).collect()} for a in (False, True)}
+    right, wrong = held[1::2], held[::2]
+    assert np.mean([score[True][i] for i in right]) < 0.8 * np.mean([score[False][i] for i in right])
+    assert np.mean([score[True][i] for i in wrong]) > 1.2 * np.mean([score[True][i] for i in right])
+
+
+def test_query_reads_across_words(spark):
+    """The query's held-out scores are those of contexts across words, better than of contexts that end at the word."""
+    held = lambda df: sum(r.score for r in df.where("held_out").collect())
+    sf = "/root/testdata/sf0.01"
+    assert held(QUERIES["op3_lm_scoring"](spark, sf)) > held(lm.lm_scoring(spark.read.parquet(f"{sf}/documents.parquet")))
+
+
+def test_score_reference_across_words(spark, monkeypatch):
+    """Scores from the learned weights, with bits counted and every word spelled after the text before it, in one place."""
+    told = {}
+
+    def keep(name, f):
+        monkeypatch.setattr(lm, name, lambda *a: told.setdefault(name, f(*a)))
+
+    keep("fit_kinds", lm.fit_kinds)
+    keep("learned_mixer", lm.learned_mixer)
+    r = np.random.default_rng(9)
+    texts = [" ".join("".join(r.choice(list("abcde" if i % 2 else "vwxyz"), r.integers(1, 7)).tolist()) for _ in range(r.integers(0, 60))) for i in range(120)] + ODD
+    rows = {x.doc_id: x.score for x in lm.lm_scoring(docs(spark, texts), across=True).collect()}
+    assert len(rows) == len(texts)
+    kinds, (learned, shares) = told["fit_kinds"], told["learned_mixer"]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    every = sorted({w for t in texts for w in words(t)})
+    place = {w: i for i, w in enumerate(every)}
+    counts = np.zeros((len(every), lm.CLASSES), np.int64)
+    for i in train:
+        raw = np.frombuffer((texts[i] or "").encode(), np.uint8)
+        for w in words(texts[i]):
+            counts[place[w], kinds.of(raw, np.array([0, len(raw)]))[0]] += 1
+
+    def laid(units):
+        data, starts = lm.spell(b"".join(w + b" " for _, w in units))
+        return data, starts, np.array([list(t) for t, _ in units], np.uint8)
+
+    data, starts, tails = laid([x for i in train for x in stream(texts[i])])
+    m = lm.Mixer.over(lm.Lines(*lm.count_lines(data, starts, np.ones(len(starts), np.int64), tails=tails)), learned)
+    refined = lm.Refined(counts.sum(0), len(train))
+    refined.shares = shares
+    for i, t in enumerate(texts):
+        data, starts, tails = laid(stream(t))
+        out = np.zeros(len(data))
+        for slot, bit, so_far in lm.slots(data, starts, m.lines, None, tails):
+            p = m.refine(m.mixed(*m.inputs(slot)), so_far)
+            out += np.log(np.where(bit == 1, p, 1 - p))
+        spelled = np.add.reduceat(out, starts) / np.log(10)
+        of = np.log10(kinds.prior) + (refined.log10(counts[[place[w] for w in words(t)]], spelled[:-1]).sum(0) if words(t) else 0)
+        want = np.logaddexp.reduce(of * np.log(10)) / np.log(10) + refined.end(spelled[-1])
+        assert abs(rows[i] - want) < 0.01 + 2e-3 * abs(want), (i, rows[i], want)

@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query()
 def op3_lm_scoring(spark, sf):
-    return lm_scoring.lm_scoring(table(spark, sf, "documents"))
+    return lm_scoring.lm_scoring(table(spark, sf, "documents"), across=True)
 
 
 @query()

@@ -258,3 +258,19 @@ def test_streams_equal_batch(spark, tmp_path):
     q.awaitTermination(180)
     last = spark.sql("SELECT key, max_by(struct(alive, value), struct(epoch, seq)) e FROM updates GROUP BY key")
     assert {r.key: r.e.value for r in last.collect() if r.e.alive} == model(rows)
+
+
+def test_bloom_probes_are_looked_up_in_bytes_or_joined_alike(spark, monkeypatch):
+    """No row for each position is joined or kept by key; larger filters, which are joined, say the same."""
+    members = spark.createDataFrame([(f"k{i}",) for i in range(5000)], "key string")
+    probes = members.unionByName(spark.createDataFrame([(f"x{i}",) for i in range(3000)] + [("k1",), ("",), (None,)], "key string"))
+    size = bloom.bloom_bits(5000)
+    bits = bloom.set_bits(members, size)
+    found = bloom.might_contain(probes, bits, size)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.key: r.maybe for r in found.collect()}
+    packed = bloom.marshal([f"k{i}".encode() for i in range(5000)], size)
+    assert got == {k: bloom.probe(packed, k.encode()) for k in [*(f"k{i}" for i in range(5000)), *(f"x{i}" for i in range(3000)), ""]}
+    monkeypatch.setattr(bloom, "MAX_BROADCAST_BITS", 0)
+    assert {r.key: r.maybe for r in bloom.might_contain(probes, bits, size).collect()} == got
+    assert bloom.might_contain(probes, bits.limit(0), size).where("maybe").count() == 0

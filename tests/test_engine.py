@@ -1,3 +1,4 @@
+import bisect
 import io
 import random
 
@@ -274,3 +275,15 @@ def test_bloom_probes_are_looked_up_in_bytes_or_joined_alike(spark, monkeypatch)
     monkeypatch.setattr(bloom, "MAX_BROADCAST_BITS", 0)
     assert {r.key: r.maybe for r in bloom.might_contain(probes, bits, size).collect()} == got
     assert bloom.might_contain(probes, bits.limit(0), size).where("maybe").count() == 0
+
+
+def test_block_lookup_deals_ranges_of_keys(spark):
+    """Rightmost blocks at or below keys, across ranges without blocks; one file's keys are not all in one partition."""
+    starts = {0: [f"k{i:05d}" for i in range(100, 4000, 37)], 1: ["k02000"]}
+    index = spark.createDataFrame([(f, k, i) for f, ks in starts.items() for i, k in enumerate(ks)], "file bigint, first_key string, block bigint")
+    asked = [f"k{i:05d}" for i in range(0, 6000)]
+    found = layers.block_index_lookup(index, spark.createDataFrame([(k,) for k in asked + asked[:9]], "key string"))
+    rows = found.withColumn("p", F.spark_partition_id()).collect()
+    want = {(f, k): bisect.bisect_right(ks, k) - 1 for f, ks in starts.items() for k in asked}
+    assert len(rows) == len(want) and {(r.file, r.key): -1 if r.block is None else r.block for r in rows} == want
+    assert len({r.p for r in rows if r.file == 0}) > 1

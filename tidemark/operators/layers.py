@@ -5,10 +5,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.keys import distinct_rows, range_of, tasks_for
 from tidemark.operators.mutations import current_state
 
 #: Fixed value: live generations that make a compaction due.
 COMPACTION_TRIGGER = 4
+#: Ranges of keys in which the blocks of a file are looked up.
+KEY_RANGES = 256
 
 
 def by_quartile(log: DataFrame, layers: int = 4) -> DataFrame:
@@ -94,15 +97,29 @@ def block_layout(entries: DataFrame, target: int, file_col: str = "file") -> Dat
 
 
 def block_index_lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rightmost block whose first key is at or below each key; null where the key precedes all.
+    """Rightmost block whose first key is at or below each distinct key; null where the key precedes all.
 
     Backward as-of as one sorted pass: index rows and keys are unioned and the last index row
-    is carried forward within each file, so nothing is joined by inequality.
+    is carried forward within each range of keys of a file, so nothing is joined by inequality. A range begins with
+    the last index row of the ranges before it. Its bounds are drawn by hash from both sides; they settle only how even the ranges are.
     """
-    marks = index.select("file", F.col("first_key").alias("k"), F.lit(0).alias("kind"), F.col("block"))
+    keys = distinct_rows(keys.select("key"))
+    marks = index.select("file", F.col("first_key").alias("k"), F.lit(1).alias("kind"), F.col("block")).where("k IS NOT NULL")
     files = index.select("file").distinct()
-    asks = keys.select("key").crossJoin(F.broadcast(files)).select("file", F.col("key").alias("k"), F.lit(1).alias("kind"),
-                                                                   F.lit(None).cast("bigint").alias("block"))
-    w = Window.partitionBy("file").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return (marks.unionByName(asks).withColumn("found", F.last("block", ignorenulls=True).over(w))
-            .where("kind = 1").select("file", F.col("k").alias("key"), F.col("found").alias("block")))
+    both = marks.select("k").unionByName(keys.select(F.col("key").alias("k"))).where("k IS NOT NULL")
+    rows = both.count()
+    every = max(1, rows // (64 * KEY_RANGES))
+    drawn = sorted((r.k for r in both.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).collect()), key=lambda k: k.encode() if isinstance(k, str) else k)
+    bounds = list(dict.fromkeys(drawn[len(drawn) * i // KEY_RANGES] for i in range(1, KEY_RANGES))) if drawn else []
+    marks = marks.withColumn("range", range_of(F.col("k"), bounds))
+    asks = (keys.withColumn("range", range_of(F.col("key"), bounds)).crossJoin(F.broadcast(files))
+            .select("file", F.col("key").alias("k"), F.lit(2).alias("kind"), F.lit(None).cast("bigint").alias("block"), "range"))
+    lasts = marks.where("block IS NOT NULL").groupBy("file", "range").agg(F.max_by("block", "k").alias("block"))
+    ranges = files.crossJoin(F.broadcast(keys.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("range"))))
+    ahead = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = (ranges.join(lasts, ["file", "range"], "left")
+              .select("file", F.lit(None).cast(keys.schema["key"].dataType).alias("k"), F.lit(0).alias("kind"), F.last("block", ignorenulls=True).over(ahead).alias("block"), "range"))
+    w = Window.partitionBy("file", "range").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    tasks = tasks_for(rows * files.count(), keys)  # a given number: small shuffles are not joined to large tasks
+    return (begins.unionByName(marks).unionByName(asks).repartition(tasks, "file", "range").withColumn("found", F.last("block", ignorenulls=True).over(w))
+            .where("kind = 2").select("file", F.col("k").alias("key"), F.col("found").alias("block")))

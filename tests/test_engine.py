@@ -287,3 +287,44 @@ def test_block_lookup_deals_ranges_of_keys(spark):
     want = {(f, k): bisect.bisect_right(ks, k) - 1 for f, ks in starts.items() for k in asked}
     assert len(rows) == len(want) and {(r.file, r.key): -1 if r.block is None else r.block for r in rows} == want
     assert len({r.p for r in rows if r.file == 0}) > 1
+
+
+def test_bloom_filter_of_the_query_is_as_large_as_its_keys_need(spark, tmp_path):
+    """60,000 order keys, some repeated, one null; the share of false positives stays that of ten bits a key, and the SQL says the same."""
+    from tests.oracle import connect, same
+    from tidemark.plans.catalogue import ORACLE, QUERIES
+
+    ids = F.when(F.col("id") < 60_000, F.col("id")).when(F.col("id") < 63_000, F.col("id") - 60_000)
+    spark.range(63_001).select(ids.alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(6_000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["bloom_might_contain"](spark, str(tmp_path))
+    said = {(r.member, r.maybe): r["count"] for r in found.groupBy(F.col("key").startswith("order-").alias("member"), "maybe").count().collect()}
+    assert said[True, True] == 60_000 and (True, False) not in said
+    assert said[False, True] + said[False, False] == 6_000 and said[False, True] <= 0.05 * 6_000
+    same(found, ORACLE["bloom_might_contain"], connect(str(tmp_path)))
+    spark.range(0).select(F.col("id").alias("o_orderkey")).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert [r.maybe for r in QUERIES["bloom_might_contain"](spark, str(tmp_path)).select("maybe").distinct().collect()] == [False]
+
+
+def test_bloom_filters_larger_than_a_broadcast_are_looked_up_in_pieces(spark, monkeypatch):
+    """Several pieces, copies of them, units in a task and keys held; the bytes are those of the byte form, and the answers those of the whole filter."""
+    members = spark.range(150_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    probes = members.unionByName(spark.range(180_000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("key")))
+    size = bloom.bits_for(members.unionByName(members.limit(10)))
+    assert size == bloom.bloom_bits(150_000)
+    monkeypatch.setattr(bloom, "PIECE_BITS", 1 << 16)
+    monkeypatch.setattr(bloom, "HELD_POSITIONS", 1 << 18)
+    bits = bloom.set_bits(members, size)
+    assert bloom.bitmap(bits, size).tobytes() == bloom.marshal([f"k{i}".encode() for i in range(150_000)], size)[9:]
+    small = bloom.bloom_bits(1_000)
+    assert bloom.bitmap(bloom.set_bits(members, small), small).tobytes() == bloom.marshal([f"k{i}".encode() for i in range(150_000)], small)[9:]
+    want = {r.key: r.maybe for r in bloom.might_contain(probes, bits, size).collect()}
+    assert len(want) == 330_000 and all(want[f"k{i}"] for i in range(150_000)) and 0 < sum(want.values()) - 150_000 < 0.05 * 180_000
+    monkeypatch.setattr(bloom, "MAX_BROADCAST_BITS", 0)
+    for rows in (250_000, 5_000):
+        monkeypatch.setattr(bloom, "TASK_ROWS", rows)
+        got = bloom.might_contain(probes, bits, size)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.key: r.maybe for r in got.collect()} == want
+    assert bloom.might_contain(probes, bits.limit(0), size).where("maybe").count() == 0
+    assert bloom.might_contain(probes.limit(0), bits, size).count() == 0
